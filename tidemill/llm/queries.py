@@ -5,10 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import leakage, repetition
+from tidemill.llm import copies, groups, leakage, overlap, repetition
 from tidemill.session import table
 
 
+def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.overlap_classes(table(spark, sf, "reviews").select("review_id", "source", "clean_text"), table(spark, sf, "review_splits"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a training review and a validation or test review that stand in both, exactly or almost."""
+    return overlap.overlap_pairs(*_overlaps(spark, sf))
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping reviews and their mean coverage per split and source."""
+    c = overlap.record_coverage(*_overlaps(spark, sf))
+    hit = F.col("coverage") > 0
+    return c.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(hit).alias("n_overlapping"), F.round(F.avg(F.when(hit, F.col("coverage"))), 6).alias("mean_coverage"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return groups.product_groups(table(spark, sf, "reviews"))
+
+
+def p3_split(spark: SparkSession, sf: str) -> DataFrame:
+    return groups.grouped_split(table(spark, sf, "reviews"))
+
+
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    s = p3_split(spark, sf).select("group_key", "n_group", "split").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_group").alias("n_rows"))
+    return s.crossJoin(F.broadcast(s.agg(F.sum("n_rows").alias("n_all")))).select("split", "n_groups", "n_rows", F.round(F.col("n_rows") / F.col("n_all"), 6).alias("share"))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "reviews").select("ingest_seq", "product_id", "text").unionByName(copies.payload_records(table(spark, sf, "raw_reviews")))
+
+
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each distinct record with its number of copies."""
+    return copies.count_copies(_records(spark, sf)).select("first_seq", "n_copies")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_records(spark, sf).where(F.col("n_copies") >= 2)
+
+
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with a passage of an evaluation item, with its place and edits."""
     return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
@@ -31,5 +73,23 @@ def p10_ablations(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.ablations(p10_ledger(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p10_found, p10_ledger, p10_ablations)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p8_found, p8_leaks, p10_found, p10_ledger, p10_ablations)}
+
+_PRODUCTS = "CASE WHEN length(trim(product_id)) > 0 THEN product_id END"
+SQL: dict[str, str] = {
+    "p3_found": """WITH RECURSIVE e AS (
+        SELECT DISTINCT product_id AS a, parent_product_id AS b FROM reviews WHERE product_id <> '' AND parent_product_id <> ''
+        UNION SELECT DISTINCT parent_product_id, product_id FROM reviews WHERE product_id <> '' AND parent_product_id <> ''),
+      r AS (SELECT DISTINCT product_id AS start, product_id AS node FROM reviews WHERE product_id <> ''
+        UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.node)
+      SELECT start AS product_id, min(node) AS group_key FROM r
+      WHERE node IN (SELECT product_id FROM reviews WHERE product_id <> '') GROUP BY start""",
+}
+_COPIES = r"""SELECT min(ingest_seq) AS first_seq, count(*) AS n_copies FROM (
+      SELECT ingest_seq, lower(upper(regexp_replace(product_id, '^\s+|\s+$', '', 'g'))) AS p,
+        regexp_replace(lower(upper(text)), '[^\p{L}\p{M}\p{Nd}]+', '', 'g') AS t
+      FROM (SELECT ingest_seq, product_id, text FROM reviews UNION ALL
+        SELECT ingest_seq, coalesce(j->>'$.asin', j->>'$.product_id'), coalesce(j->>'$.text', j->>'$.reviewText', j->>'$.review_body')
+        FROM (SELECT ingest_seq, CAST(payload AS JSON) AS j FROM raw_reviews WHERE json_valid(payload))))
+      WHERE p <> '' AND t <> '' GROUP BY p, t"""
+SQL["p6_records"], SQL["p6_found"] = _COPIES, f"{_COPIES} HAVING count(*) >= 2"
