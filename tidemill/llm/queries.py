@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import copies, groups, leakage, overlap, repetition
+from tidemill.llm import copies, groups, leakage, mixing, overlap, repetition
 from tidemill.session import table
 
 
@@ -61,6 +61,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_whole_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every block of the mixture."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p10_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_ledger(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
@@ -73,7 +82,7 @@ def p10_ablations(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.ablations(p10_ledger(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p8_found, p8_leaks, p10_found, p10_ledger, p10_ablations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_ledger, p10_ablations)}
 
 _PRODUCTS = "CASE WHEN length(trim(product_id)) > 0 THEN product_id END"
 SQL: dict[str, str] = {
