@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import copies, groups, leakage, mixing, overlap, repetition
+from tidemill.llm import copies, groups, leakage, mixing, overlap, repetition, sentences
 from tidemill.session import table
 
 
@@ -51,6 +51,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_records(spark, sf).where(F.col("n_copies") >= 2)
 
 
+def p7_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentence records of every non-empty clean_text."""
+    model = sentences.learn(table(spark, sf, "sentences"))
+    return sentences.split_sentences(table(spark, sf, "reviews"), model).distinct()
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = sentences.learn(table(spark, sf, "sentences"))
+    return sentences.split_sentences(table(spark, sf, "reviews"), model).select("review_id", "start_char", "end_char").distinct()
+
+
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with a passage of an evaluation item, with its place and edits."""
     return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
@@ -82,7 +93,7 @@ def p10_ablations(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.ablations(p10_ledger(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_ledger, p10_ablations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p7_found, p7_sentences, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_ledger, p10_ablations)}
 
 _PRODUCTS = "CASE WHEN length(trim(product_id)) > 0 THEN product_id END"
 SQL: dict[str, str] = {
