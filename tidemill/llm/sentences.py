@@ -106,7 +106,7 @@ _KINDS = ("stop", "dots", "mark", "full")
 # Log odds before anything is learned, by the kind of the run and of what follows.
 _PRIOR = {
     "upper": (3.0, 3.5, 5.0, 8.0),
-    "digit": (0.5, 1.0, 3.0, 8.0),
+    "digit": (0.5, 2.5, 3.0, 8.0),
     "letter": (2.5, 3.0, 4.0, 8.0),
     "unspaced": (1.0, -1.0, 5.0, 8.0),
     "other": (1.0, 1.0, 2.5, 6.0),
