@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import copies, groups, leakage, mixing, overlap, repetition, sentences
+from tidemill.llm import copies, groups, leakage, markup, mixing, overlap, repetition, sentences
 from tidemill.session import table
 
 
@@ -38,6 +38,17 @@ def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     return s.crossJoin(F.broadcast(s.agg(F.sum("n_rows").alias("n_all")))).select("split", "n_groups", "n_rows", F.round(F.col("n_rows") / F.col("n_all"), 6).alias("share"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Markup and its elements in raw_text and title."""
+    nodes = markup.parse_fields(table(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source")
+    return markup.found_elements(nodes).withColumnRenamed("key", "review_id")
+
+
+def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean text of every field with markup."""
+    return markup.clean_fields(table(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source").withColumnRenamed("key", "review_id")
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "reviews").select("ingest_seq", "product_id", "text").unionByName(copies.payload_records(table(spark, sf, "raw_reviews")))
 
@@ -93,7 +104,7 @@ def p10_ablations(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.ablations(p10_ledger(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p6_found, p6_records, p7_found, p7_sentences, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_ledger, p10_ablations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_split, p3_shares, p4_found, p4_clean, p6_found, p6_records, p7_found, p7_sentences, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_ledger, p10_ablations)}
 
 _PRODUCTS = "CASE WHEN length(trim(product_id)) > 0 THEN product_id END"
 SQL: dict[str, str] = {
