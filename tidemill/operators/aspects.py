@@ -20,19 +20,25 @@ def tokens(text: Column) -> Column:
     return F.filter(with_starts(cut), lambda p, i: i % 2 == 1)
 
 
-def is_valid_aspect(surface: Column, min_chars: int = 2, max_words: int = MAX_WORDS, allow_generic: bool = False) -> Column:
-    """Whether a phrase can be an aspect: length, words, no stop words at the edges, no copula inside, no opinion at the end."""
-    s = F.regexp_replace(F.lower(surface), r"(?U)^\s+|\s+$", "")
-    w = F.split(s, r"(?U)\s+")
-    n, first, last = F.size(w), F.get(w, F.lit(0)), F.get(w, F.size(w) - 1)
+def _valid(low: Column, words: Column, min_chars: int, max_words: int, allow_generic: bool) -> Column:
+    n, first, last = F.size(words), F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
     alone = sorted({*ALONE, *(() if allow_generic else STANDALONE_GENERIC)})
     edges = [*STOPWORDS, *PRONOUNS]
     copulas = F.array(*[F.lit(x) for x in COPULAS_AND_CONJUNCTIONS])
-    ok = (F.length(s) >= min_chars) & s.rlike(r"[\p{L}\p{N}]") & (n <= max_words) & ~((n == 1) & first.isin(alone))
-    return ok & ~first.isin(edges) & ~last.isin(edges) & ~last.isin(OPINION_WORDS) & ~F.arrays_overlap(w, copulas)
+    ok = (n <= max_words) & (F.length(low) >= min_chars) & ~first.isin(edges) & ~last.isin(edges) & ~last.isin(OPINION_WORDS)
+    return ok & ~((n == 1) & first.isin(alone)) & low.rlike(r"[\p{L}\p{N}]") & ~F.arrays_overlap(words, copulas)
+
+
+def _low(surface: Column) -> Column:
+    return F.regexp_replace(F.lower(surface), r"(?U)^\s+|\s+$", "")
+
+
+def is_valid_aspect(surface: Column, min_chars: int = 2, max_words: int = MAX_WORDS, allow_generic: bool = False) -> Column:
+    """Whether a phrase can be an aspect: length, words, no stop words at the edges, no copula inside, no opinion at the end."""
+    return _valid(_low(surface), F.split(_low(surface), r"(?U)\s+"), min_chars, max_words, allow_generic)
 
 
-def _spans(text: Column, toks: Column, max_words: int) -> Column:
+def _spans(toks: Column, max_words: int) -> Column:
     """All runs of at most ``max_words`` tokens as struct<start, end, n>, by start, longest first."""
     end = lambda t: t["start"] + F.length(t["piece"])
     per = lambda t, i: F.transform(F.reverse(F.slice(toks, i + 1, F.lit(max_words))), lambda u, k: F.struct(t["start"].alias("start"), end(u).alias("end"), (F.least(F.lit(max_words), F.size(toks) - i) - k).alias("n")))
@@ -58,8 +64,11 @@ def extract_aspects(sentences: DataFrame, min_chars: int = 2, max_words: int = M
     """
     t = sentences.where(F.col("text").isNotNull()).withColumn("_tm_tok", tokens(F.col("text")))
     cut = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    good = F.filter(_spans(F.col("text"), F.col("_tm_tok"), max_words), lambda s: is_valid_aspect(cut(s), min_chars, max_words, allow_generic))
-    t = t.withColumn("_tm_s", F.explode(longest(good)))
+    # each step's struct is bound once, so that a phrase is cut, lowered and split once
+    low = F.transform(_spans(F.col("_tm_tok"), max_words), lambda s: F.struct(s.alias("s"), _low(cut(s)).alias("low")))
+    words = F.transform(low, lambda x: F.struct(x["s"].alias("s"), x["low"].alias("low"), F.split(x["low"], r"(?U)\s+").alias("w")))
+    good = F.filter(words, lambda x: _valid(x["low"], x["w"], min_chars, max_words, allow_generic))
+    t = t.withColumn("_tm_s", F.explode(longest(F.transform(good, lambda x: x["s"]))))
     s = F.col("_tm_s")
     return t.select(
         "sentence_id",

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from tidemill.functions.aliases import alias_table, resolve_alias
 from tidemill.functions.cleaning import text_key
 from tidemill.functions.lexicon import ACCESSORIES, ALIASES, DISALLOWED_MERGES, GENERIC_MODIFIERS
-from tidemill.operators.embedding import embed, phrase_features, sparse_dot
+from tidemill.operators.embedding import embed, sparse_dot
 from tidemill.operators.graph import components
 from tidemill.session import written
 
 EPS, PROBABILITY = 0.35, 0.75
-SLACK = 0.15  # what colliding hashes may add to a cosine before a pair that shares no rare feature could be missed
 SEP = "\u0001"
 
 
@@ -27,19 +26,23 @@ def surfaces(mentions: DataFrame, by_category: bool = True) -> DataFrame:
 def cosine_edges(phrases: DataFrame, eps: float = EPS) -> DataFrame:
     """(category, a, b, similarity): phrases of a category, a before b, with 1 - cosine at most ``eps``.
 
-    Candidates share one of each other's rarest features: a phrase's features, rarest first, are taken until what is
-    left is too short for the wanted cosine. Candidates are then verified on the vectors, rounded to 9 digits.
+    Prefix filter on the vectors: of b only the rarest dimensions count, as many as leave a rest shorter than the wanted
+    cosine. A pair needs one of them in common, and its product over them plus the rest's length must reach the wanted
+    cosine, since a has length 1. What passes is verified on the vectors, rounded to 9 digits. In 384 dimensions the
+    filter leaves a share of all pairs of a category, as density clustering by cosine does.
     """
     least = 1.0 - eps
     vec = written(embed(phrases), "phrase-vectors")
-    f = phrases.select("category", "surface", F.explode(phrase_features(F.col("surface"))).alias("f")).groupBy("category", "surface", F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("w"))
-    df = f.groupBy("category", "feature").agg(F.count(F.lit(1)).alias("df"))
-    per = f.join(df, ["category", "feature"]).groupBy("category", "surface").agg(F.array_sort(F.collect_list(F.struct("df", "feature", "w"))).alias("fs"))
-    norm = F.aggregate("fs", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    left = lambda i: F.aggregate(F.slice("fs", i + 1, F.size("fs")), F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    keep = F.filter("fs", lambda x, i: left(i) >= F.col("n2") * max(0.0, least - SLACK) ** 2)
-    pre = per.withColumn("n2", norm).select("category", "surface", F.explode(F.transform(keep, lambda x: x["feature"])).alias("feature"))
-    pairs = pre.withColumnRenamed("surface", "a").join(pre.withColumnRenamed("surface", "b"), ["category", "feature"]).where(F.col("a") < F.col("b")).select("category", "a", "b").distinct()
+    x = phrases.select("category", "surface").distinct().join(vec, "surface").select("category", "surface", F.explode("vec").alias("v")).select("category", "surface", "v.idx", "v.w")
+    df = x.groupBy("category", "idx").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("category", "surface").orderBy("df", "idx").rowsBetween(0, Window.unboundedFollowing)
+    x = x.join(df, ["category", "idx"]).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(w))
+    kept = F.col("rest") >= least * least - 1e-9
+    short = x.where(~kept).groupBy("category", "surface").agg(F.max("rest").alias("r"))
+    pre = x.where(kept).join(short, ["category", "surface"], "left").select("category", F.col("surface").alias("b"), "idx", F.col("w").alias("wb"), F.sqrt(F.coalesce("r", F.lit(0.0))).alias("r"))
+    part = x.select("category", F.col("surface").alias("a"), "idx", F.col("w").alias("wa")).join(pre, ["category", "idx"]).where(F.col("a") != F.col("b"))
+    part = part.groupBy("category", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("r").alias("r")).where(F.col("dot") + F.col("r") >= least - 1e-6)
+    pairs = part.select("category", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     v = lambda k: vec.select(F.col("surface").alias(k), F.col("vec").alias(f"v{k}"))
     sim = F.round(sparse_dot(F.col("va"), F.col("vb")), 9)
     return pairs.join(v("a"), "a").join(v("b"), "b").select("category", "a", "b", sim.alias("similarity")).where(F.col("similarity") >= round(least, 9))

@@ -32,7 +32,8 @@ def similar_pairs(df: DataFrame, threshold: float, order: str = "ingest_seq", te
     Prefix filter: two sets that similar share one of each other's rarest |x| - ceil(t |x|) + 1 n-grams, and their sizes
     differ by a factor of at most t. Exact copies should be removed first; a and b are values of ``order``.
     """
-    t = written(df.select(F.col(order).alias("id"), char_ngrams(text_key(F.col(text)), n).alias("g")).where(F.size("g") > 0), "ngrams")
+    keyed = df.select(F.col(order).alias("id"), text_key(F.col(text)).alias("k")).where(F.col("k") != "")
+    t = written(keyed.select("id", char_ngrams(F.col("k"), n).alias("g")), "ngrams")
     grams = t.select("id", F.size("g").alias("size"), F.explode("g").alias("gram"))
     freq = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(freq, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
