@@ -14,10 +14,37 @@ MAX_WORDS = 4
 ALONE = sorted({*PRONOUNS, *STOPWORDS, *OPINION_WORDS, *GENERIC_NOUNS})
 
 
+def _cut_tokens(text: Column) -> Column:
+    """array<struct<piece, start>>: what stands between tokens and tokens by turns."""
+    marked = F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", " "), EDGE, "\u0001$0\u0002")
+    return with_starts(F.split(marked, "[\u0001\u0002]"))
+
+
 def tokens(text: Column) -> Column:
     """array<struct<piece, start>> of the word tokens; a hyphen joins two parts."""
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", " "), EDGE, "\u0001$0\u0002"), "[\u0001\u0002]")
-    return F.filter(with_starts(cut), lambda p, i: i % 2 == 1)
+    return F.filter(_cut_tokens(text), lambda p, i: i % 2 == 1)
+
+
+def _with_edges(pieces: Column) -> Column:
+    """Tokens with whether they can be the first or the last of a phrase, as far as that can be told from them alone.
+
+    A token next to white space is a word by itself there, so stop words at an edge rule a phrase out before it is cut.
+    """
+    edges = [*STOPWORDS, *PRONOUNS]
+    apart = lambda c: (c == "") | c.isin(" ", "\n", "\t")
+    low = lambda p: F.lower(p["piece"])
+    after = lambda i: F.substring(F.get(pieces, i + 1)["piece"], 1, 1)
+    before = lambda i: F.substring(F.get(pieces, i - 1)["piece"], -1, 1)
+    all_of = F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            p["start"].alias("start"),
+            (p["start"] + F.length(p["piece"])).alias("end"),
+            (~((i % 2 == 1) & low(p).isin(edges) & apart(after(i)))).alias("opens"),
+            (~((i % 2 == 1) & low(p).isin([*edges, *OPINION_WORDS]) & apart(before(i)))).alias("closes"),
+        ),
+    )
+    return F.filter(all_of, lambda p, i: i % 2 == 1)
 
 
 def _valid(low: Column, words: Column, min_chars: int, max_words: int, allow_generic: bool) -> Column:
@@ -39,10 +66,11 @@ def is_valid_aspect(surface: Column, min_chars: int = 2, max_words: int = MAX_WO
 
 
 def _spans(toks: Column, max_words: int) -> Column:
-    """All runs of at most ``max_words`` tokens as struct<start, end, n>, by start, longest first."""
-    end = lambda t: t["start"] + F.length(t["piece"])
-    per = lambda t, i: F.transform(F.reverse(F.slice(toks, i + 1, F.lit(max_words))), lambda u, k: F.struct(t["start"].alias("start"), end(u).alias("end"), (F.least(F.lit(max_words), F.size(toks) - i) - k).alias("n")))
-    return F.flatten(F.transform(toks, per))
+    """The runs of at most ``max_words`` tokens that can open and close as struct<start, end, n>, by start, longest first."""
+    span = lambda t, i: lambda u, k: F.struct(t["start"].alias("start"), u["end"].alias("end"), (F.least(F.lit(max_words), F.size(toks) - i) - k).alias("n"), u["closes"].alias("closes"))
+    per = lambda t, i: F.when(t["opens"], F.filter(F.transform(F.reverse(F.slice(toks, i + 1, F.lit(max_words))), span(t, i)), lambda s: s["closes"]))
+    runs = F.filter(F.transform(toks, per), lambda x: x.isNotNull())
+    return F.transform(F.flatten(runs), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n")))
 
 
 def longest(spans: Column) -> Column:
@@ -62,7 +90,8 @@ def extract_aspects(sentences: DataFrame, min_chars: int = 2, max_words: int = M
     ``sentences`` has sentence_id, review_id, text and start_char. Null texts give none. No shuffle: candidates of a
     sentence are made, filtered and reduced to longest matches within its row.
     """
-    t = sentences.where(F.col("text").isNotNull()).withColumn("_tm_tok", tokens(F.col("text")))
+    t = sentences.where(F.col("text").isNotNull()).withColumn("_tm_all", _cut_tokens(F.col("text")))
+    t = t.withColumn("_tm_tok", _with_edges(F.col("_tm_all"))).drop("_tm_all")
     cut = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     # each step's struct is bound once, so that a phrase is cut, lowered and split once
     low = F.transform(_spans(F.col("_tm_tok"), max_words), lambda s: F.struct(s.alias("s"), _low(cut(s)).alias("low")))

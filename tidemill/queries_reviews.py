@@ -29,14 +29,14 @@ from tidemill.functions.pieces import with_starts
 from tidemill.operators import audit, clustering, dedupe, embedding, sampling, spans
 from tidemill.operators.aspects import extract_aspects, is_valid_aspect, typed_mentions, with_reviews
 from tidemill.operators.sentences import review_sentences as cut_sentences
-from tidemill.session import table
+from tidemill.session import table, texts
 from tidemill.sources.reviews import chunked, normalise
 
 RATIOS, SEED = (0.8, 0.1, 0.1), 42
 
 
 def _reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "reviews")
+    return texts(spark, sf, "reviews")
 
 
 def clean_reviews(spark: SparkSession, sf: str) -> DataFrame:
