@@ -21,12 +21,16 @@ def _decode_one(t: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFC, then character entities decoded once."""
     for s in parts:
         yield s.map(_decode_one)
 
 
+# So marked, a filter on the result is not moved below it, which would run it and all that follows twice.
+decode = _decode.asNondeterministic()
+
+
 def strip(c: Column) -> Column:
     """Without outer white space of any kind; ``trim`` takes off blanks only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -227,5 +227,6 @@ def normalise_timestamps(df: DataFrame, feeds: DataFrame, column: str = "timesta
             v, ok = parse(texts, zones, orders)
             yield pd.DataFrame({"epoch_ms": pd.array(v, dtype="Int64").copy(), "time_mask": [mask_of(x.strip()) if isinstance(x, str) else None for x in texts]}).assign(epoch_ms=lambda d: d.epoch_ms.mask(~ok))
 
-    rows = rows.withColumn("_tm", convert(F.col(column), F.col("_tm_zone"), F.col("_tm_order")))
+    # so marked, a filter on the result is not moved below it, which would run it twice
+    rows = rows.withColumn("_tm", convert.asNondeterministic()(F.col(column), F.col("_tm_zone"), F.col("_tm_order")))
     return rows.withColumns({ms: F.col("_tm.epoch_ms"), mask: F.col("_tm.time_mask"), ver: F.lit(version())}).drop("_tm", "_tm_zone", "_tm_order")

@@ -23,6 +23,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("tidemill")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")  # texts are dear to work on, few as they are
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
