@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import copies, groups, leakage, markup, mixing, overlap, repetition, sentences
-from tidemill.session import table
+from tidemill.session import table, texts
 
 
 def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return overlap.overlap_classes(table(spark, sf, "reviews").select("review_id", "source", "clean_text"), table(spark, sf, "review_splits"))
+    return overlap.overlap_classes(texts(spark, sf, "reviews").select("review_id", "source", "clean_text"), table(spark, sf, "review_splits"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,17 +40,17 @@ def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Markup and its elements in raw_text and title."""
-    nodes = markup.parse_fields(table(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source")
+    nodes = markup.parse_fields(texts(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source")
     return markup.found_elements(nodes).withColumnRenamed("key", "review_id")
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Clean text of every field with markup."""
-    return markup.clean_fields(table(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source").withColumnRenamed("key", "review_id")
+    return markup.clean_fields(texts(spark, sf, "reviews"), "review_id", ["raw_text", "title"], "source").withColumnRenamed("key", "review_id")
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "reviews").select("ingest_seq", "product_id", "text").unionByName(copies.payload_records(table(spark, sf, "raw_reviews")))
+    return texts(spark, sf, "reviews").select("ingest_seq", "product_id", "text").unionByName(copies.payload_records(table(spark, sf, "raw_reviews")))
 
 
 def p6_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,35 +65,35 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """The sentence records of every non-empty clean_text."""
     model = sentences.learn(table(spark, sf, "sentences"))
-    return sentences.split_sentences(table(spark, sf, "reviews"), model).distinct()
+    return sentences.split_sentences(texts(spark, sf, "reviews"), model).distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     model = sentences.learn(table(spark, sf, "sentences"))
-    return sentences.split_sentences(table(spark, sf, "reviews"), model).select("review_id", "start_char", "end_char").distinct()
+    return sentences.split_sentences(texts(spark, sf, "reviews"), model).select("review_id", "start_char", "end_char").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with a passage of an evaluation item, with its place and edits."""
-    return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
+    return leakage.find_leaks(texts(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Leaks whose longest unedited run holds a whole passage."""
-    return leakage.find_whole_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
+    return leakage.find_whole_passages(texts(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumnRenamed("doc_key", "doc_id")
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces of every block of the mixture."""
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return mixing.mix(texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return mixing.mix(texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
 def p10_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return repetition.repetition_ledger(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    return repetition.repetition_ledger(texts(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
