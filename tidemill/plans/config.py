@@ -79,8 +79,8 @@ def load_settings(profile: str = "dev", overrides: dict[str, Any] | list[str] |
         *path, name = key.split(".")
         at: Any = s
         for p in path:
-            at = getattr(at, p)
-        if name not in {f.name for f in dataclasses.fields(at)}:
+            at = getattr(at, p, None)
+        if not dataclasses.is_dataclass(at) or name not in {f.name for f in dataclasses.fields(at)}:
             raise ValueError(f"unknown setting {key}")
         setattr(at, name, _coerce(v))
     return s
