@@ -24,12 +24,12 @@ TEXT_NAMES, PRODUCT_NAMES = ("text", "reviewText", "review_body"), ("asin", "pro
 
 
 def canonical_text(c: Column) -> Column:
-    """Letters, marks and digits in order, case folded: upper case first, for letters that fold to several."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{M}\p{Nd}]+", "")
+    """Letters, marks and digits in order; case is folded in Python, where letters that fold to several do so."""
+    return F.regexp_replace(c, r"[^\p{L}\p{M}\p{Nd}]+", "")
 
 
 def canonical_product(c: Column) -> Column:
-    return F.lower(F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")))
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def payload_records(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -103,7 +103,7 @@ LOCAL_ENTRIES = 100_000  # entries of a task's own trie before they are passed o
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts copies within a task, before anything is sent."""
+    """Folds case to canonical bytes and counts copies within a task, before anything is sent."""
     trie, size = Trie(), 0
 
     def flush() -> pa.RecordBatch:
@@ -114,7 +114,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            trie.add(k, 1, s)
+            trie.add(k.casefold().encode(), 1, s)
             size += 1
         if size >= LOCAL_ENTRIES:
             yield flush()
@@ -186,7 +186,7 @@ def count_copies(records: DataFrame, seq: str = "ingest_seq", product: str = "pr
     spark = records.sparkSession
     t = records.select(F.col(seq).alias("s"), canonical_product(F.col(product)).alias("p"), canonical_text(F.col(text)).alias("t")).where((F.length("p") > 0) & (F.length("t") > 0))
     # the text leads: its first bytes tell records apart sooner than a product that many share
-    t = t.select(F.encode(F.concat("t", F.lit("\u0000"), "p"), "utf-8").alias("canon"), F.col("s").cast("bigint"))
+    t = t.select(F.concat("t", F.lit("\u0000"), "p").alias("canon"), F.col("s").cast("bigint"))
     entries = written(t.mapInArrow(_combine, "canon binary, n bigint, first_seq bigint"), "copies")
     if fit is None:
         fit = max(FIT, entries.count() // (4 * partitions(spark)))  # so that at most 4 oversized buckets a partition are sent
