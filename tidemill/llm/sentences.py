@@ -97,7 +97,7 @@ class Model:
         if kind == "full":
             return s
         if kind == "stop":
-            s += self.closing.get(before, -2.0 if len(before) == 1 and before.isalpha() else 0.0)
+            s += self.closing.get(before, -4.0 if len(before) == 1 and before.isalpha() else 0.0)
         s += self.opening.get(word, 0.0)
         return s if gap else s - 0.5
 
@@ -140,6 +140,8 @@ def train(sentences: list[str]) -> Model:
     for w in closed | within:
         if closed[w] + within[w] >= 3:
             model.closing[w] = max(-6.0, min(3.0, odds(closed, within, max(nc, nw), nw, w)))
+        if not closed[w] and (w in ABBREVIATIONS or len(w) == 1):  # never seen at an end
+            model.closing[w] = min(-4.0, model.closing.get(w, 0.0))
     for w in opened | follow:
         if opened[w] + follow[w] >= 3 and no:
             model.opening[w] = max(-5.0, min(4.0, odds(opened, follow, no, max(nf, 20), w)))
