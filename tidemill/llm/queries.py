@@ -124,3 +124,24 @@ _COPIES = r"""SELECT min(ingest_seq) AS first_seq, count(*) AS n_copies FROM (
         FROM (SELECT ingest_seq, CAST(payload AS JSON) AS j FROM raw_reviews WHERE json_valid(payload))))
       WHERE p <> '' AND t <> '' GROUP BY p, t"""
 SQL["p6_records"], SQL["p6_found"] = _COPIES, f"{_COPIES} HAVING count(*) >= 2"
+
+_UNSPACED = r"(regexp_matches(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]') AND length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+', '', 'g')) >= 0.3 * length(regexp_replace(text, '[^\p{L}\p{M}]+', '', 'g')))"
+
+
+def _squeezed(c: str) -> str:
+    return rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+
+
+SQL["p8_found"] = rf"""WITH i AS (SELECT item_id, {_UNSPACED} AS u, {_squeezed('text')} AS s,
+      list_filter(list_transform(regexp_split_to_array(text, '[\s\p{{Z}}]+'), lambda w: {_squeezed('w')}), lambda w: w <> '') AS ws FROM eval_items),
+    runs AS (SELECT DISTINCT item_id, CASE WHEN u THEN substr(s, k, 25) ELSE array_to_string(ws[k:k + 11], '') END AS r
+      FROM (SELECT *, unnest(range(1, CASE WHEN u THEN length(s) - 23 ELSE len(ws) - 10 END)) AS k FROM i)),
+    d AS (SELECT doc_id, {_squeezed('text')} AS s FROM documents WHERE text <> '')
+    SELECT DISTINCT item_id, doc_id FROM runs JOIN d ON contains(d.s, runs.r)"""
+SQL["p10_found"] = rf"""WITH w AS (SELECT doc_id, CASE WHEN {_UNSPACED} THEN 24 ELSE 8 END AS n,
+      CASE WHEN {_UNSPACED} THEN string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}]+', '', 'g'), '') ELSE regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+') END AS ws
+      FROM documents WHERE text <> ''),
+    p AS (SELECT doc_id, n, k, CASE WHEN k + n - 1 <= len(ws) THEN array_to_string(ws[k:k + n - 1], ' ') END AS g FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+    a AS (SELECT *, CASE WHEN g IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g ORDER BY k) > 1 THEN k END AS again FROM p),
+    c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS latest FROM a)
+    SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) FILTER (latest + n > k) >= 0.4 * count(*)"""
