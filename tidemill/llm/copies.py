@@ -157,13 +157,13 @@ def radix_buckets(entries: DataFrame, fit: int) -> DataFrame:
     entries that are all the same (or end) cannot be cut and stays; entries were combined before, so there is one such
     entry per earlier task.
     """
-    n = F.octet_length("canon")
+    n, h = F.octet_length("canon"), F.xxhash64("canon")  # numbers, so that sizes are hash-aggregated
     prefix = lambda k: F.substring("canon", 1, k)
     bucket, done, k = None, None, STEP
     open_rows = entries
     cases: list[tuple[int, list[bytes]]] = []
     while True:
-        sizes = open_rows.groupBy(prefix(k).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("longest"), F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+        sizes = open_rows.groupBy(prefix(k).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("longest"), F.min(h).alias("lo"), F.max(h).alias("hi"))
         over = [bytes(r[0]) for r in sizes.where((F.col("n") > fit) & (F.col("longest") > k) & (F.col("lo") != F.col("hi"))).select("p").collect()]
         if not over:
             break
