@@ -95,7 +95,9 @@ def test_sentences_without_space_and_odd_texts():
     assert cut("The lamp works.Our cable broke!The lid fits.") == ["The lamp works.", "Our cable broke!", "The lid fits."]
     assert cut("") == [] and cut(" \n ") == [] and cut("...") == ["..."] and cut("a", []) == ["a"]
     long = "The lamp works. " * 3000
-    assert len(cut(long)) == 3000
+    assert len(cut(long)) == 3000 == len(cut("“(" + long)) == len(cut('"' + long * 1))
+    quoted = 'The note said "The lamp works. Our cable broke! My lid fits. The rest is fine." and left.'
+    assert cut(f"My lid fits. {quoted} Our cable broke!") == ["My lid fits.", quoted, "Our cable broke!"]
     assert "".join(cut(" ( ( \" “ x. Y ) . “")).replace(" ", "") == '(("“x.Y).“'
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemill.operators.ranks import order_code
 
 TRAIN_ROWS = 20_000  # checked sentences from which word scores are learned, a bounded sample by hash
-LOOKBACK_LEAST = 64  # spans with more skipped candidates are tried only where quotations or brackets stay open
-UNBALANCED, LENGTH_WEIGHT = -8.0, 0.25
+LOOKBACK = 64  # candidates further back are tried by their best alone: their spans' length scores are all the lowest
+UNBALANCED, LENGTH_WEIGHT = -14.0, 0.25
 
 # Abbreviations that seldom end a sentence, by language.
 ABBREVIATIONS = """
@@ -217,11 +217,18 @@ def _line_spans(line: str, model: Model) -> list[tuple[int, int]]:
     mu, sigma = model.length
     at = [0] + [p for p, _ in cands]
     best, back = [0.0] + [-math.inf] * len(cands), [0] * (len(cands) + 1)
+    far: dict[tuple[str, ...], int] = {}  # the best start before the window, per open quotations
+    far_any = -1
     for j in range(1, len(at)):
         gain = cands[j - 1][1]
-        for i in range(j - 1, -1, -1):
-            if j - i > LOOKBACK_LEAST and not state[i]:
-                break
+        starts = list(range(j - 1, max(-1, j - 1 - LOOKBACK), -1))
+        if (old := j - 1 - LOOKBACK) >= 0:
+            if state[old] not in far or best[old] > best[far[state[old]]]:
+                far[state[old]] = old
+            if far_any < 0 or best[old] > best[far_any]:
+                far_any = old
+            starts += [x for x in (far.get(state[j], -1), far_any) if x >= 0]
+        for i in starts:
             z = (math.log(max(1, at[j] - at[i])) - mu) / sigma
             s = best[i] + gain - LENGTH_WEIGHT * min(8.0, z * z)
             if state[i] != state[j] or (at[j] in inner and line[at[i] : inner[at[j]]].strip()):
