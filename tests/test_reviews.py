@@ -253,6 +253,40 @@ def test_types_and_aliases(spark):
     assert all(r["x"] == r["want"] for r in df.select(al.can_merge(F.col("a"), F.col("b")).alias("x"), "want").collect())
 
 
+def _broken():
+    raise OSError("no model here")
+
+
+def test_model_aspects_and_their_fallback(spark):
+    def _tagger():
+        def predict(texts):
+            out = []
+            for t in texts:
+                words, at = [], 0
+                for w in t.split(" "):
+                    words.append((at, at + len(w)))
+                    at += len(w) + 1
+                out.append((words, ["B-ASP" if t[a:b] in ("screen", "battery") else "I-ASP" if t[a:b] == "life" else "O" for a, b in words], [0.5] * len(words)))
+            return out
+
+        return predict
+
+    df = spark.createDataFrame([("s", "r", "the screen and battery life", 5), ("n", "r", None, 0)], "sentence_id string, review_id string, text string, start_char int")
+    got = aspects.model_aspects(df, _tagger).collect()
+    assert sorted((r["surface"], r["doc_start_char"], r["confidence"], r["aspect_type"]) for r in got) == [("battery life", 20, 0.5, "product"), ("screen", 9, 0.5, "product")]
+    rules = aspects.model_aspects(df, _broken)
+    assert sorted(r["surface"] for r in rules.collect()) == sorted(r["surface"] for r in aspects.extract_aspects(df).collect()) and rules.columns == aspects.model_aspects(df, _tagger).columns
+
+
+def test_projection(spark):
+    from pyspark.sql import types as T
+
+    from tidemill.functions.casts import project_to
+
+    r = project_to(spark.createDataFrame([("1", None, 3)], "a string, b string, z int"), T.StructType([T.StructField("b", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("c", T.DoubleType())]), {"b": "", "c": -1.0}).first()
+    assert r.asDict() == {"b": "", "a": 1, "c": -1.0}
+
+
 # ---- spans
 
 
@@ -305,6 +339,9 @@ def test_embedding(spark, tmp_path):
     a = embedding.cached_embed(df.limit(2), cache).count()
     b = embedding.cached_embed(df, cache).count()
     assert (a, b, spark.read.parquet(cache).count()) == (2, 5, 5)
+    own = embedding.cached_embed(df, cache, "lengths", encode=lambda texts: [[float(len(t)), 0.0] for t in texts])
+    assert {r["surface"]: [tuple(x) for x in r["vec"]] for r in own.collect()} == {p: [(0, 1.0)] for p in phrases} and spark.read.parquet(cache).count() == 10
+
 
 
 def test_components(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, types as T
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,14 @@ def safe_bool(c: Column, kind: T.DataType) -> Column:
         d = c.cast("double")
         return F.coalesce((d != 0) & ~F.isnan(d), F.lit(False))
     return F.lit(False)
+
+
+def project_to(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+    """The columns of ``schema`` in its order and types: unknown columns are left out, missing ones and nulls take their default."""
+    defaults = defaults or {}
+    out = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        d = defaults.get(f.name)
+        out.append((c if d is None else F.coalesce(c, F.lit(d).cast(f.dataType))).alias(f.name))
+    return df.select(*out)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.aliases import aspect_type
 from tidemill.functions.lexicon import COPULAS_AND_CONJUNCTIONS, GENERIC_NOUNS, OPINION_WORDS, PRONOUNS, STANDALONE_GENERIC, STOPWORDS, TOKEN
 from tidemill.functions.pieces import with_starts
+from tidemill.operators.spans import spans_from_bio
 
 EDGE = rf"(?<![\p{{L}}\p{{N}}_]){TOKEN}(?![\p{{L}}\p{{N}}_])"
 MAX_WORDS = 4
@@ -125,3 +129,45 @@ def with_reviews(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
     latest = reviews.groupBy("review_id").agg(F.max_by(F.struct("product_id", "category"), "ingest_seq").alias("r"))
     t = mentions.join(latest, "review_id", "left")
     return t.withColumns({c: F.coalesce(F.col(f"r.{c}"), F.lit("")) for c in ("product_id", "category")}).drop("r")
+
+
+TAGS = "offsets array<struct<start: int, end: int>>, labels array<string>, confidence array<double>"
+
+
+def model_aspects(sentences: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Aspect phrases by a token classifier, in the columns of :func:`typed_mentions`.
+
+    ``load()`` runs once on the driver, as a check, and once per Python worker; what it returns takes a batch of texts and gives
+    (offsets, labels, confidences) for each. If it cannot be loaded, the rules take its place. Null texts give none.
+    """
+    try:
+        load()
+    except Exception:  # noqa: BLE001
+        return typed_mentions(extract_aspects(sentences, keep=keep))
+
+    @F.pandas_udf(TAGS)
+    def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = load()
+        for s in parts:
+            rows = predict(s.fillna("").tolist())
+            yield pd.DataFrame({"offsets": [[{"start": a, "end": b} for a, b in o] for o, _, _ in rows], "labels": [list(x) for _, x, _ in rows], "confidence": [list(c) for _, _, c in rows]})
+
+    t = sentences.where(F.col("text").isNotNull()).withColumn("_tm_t", tag.asNondeterministic()(F.col("text")))
+    t = t.withColumn("_tm_s", F.explode(spans_from_bio(F.col("text"), F.col("_tm_t.offsets"), F.col("_tm_t.labels"), F.col("_tm_t.confidence"))))
+    s = F.col("_tm_s")
+    surface = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    at = F.col("start_char")
+    return t.select(
+        "sentence_id",
+        "review_id",
+        *keep,
+        surface.alias("surface"),
+        s["start"].alias("start_char"),
+        s["end"].alias("end_char"),
+        (at + s["start"]).alias("doc_start_char"),
+        (at + s["end"]).alias("doc_end_char"),
+        s["confidence"].alias("confidence"),
+        F.lit("pseudo").alias("origin"),
+        F.col("text").alias("sentence"),
+        aspect_type(surface, F.col("text")).alias("aspect_type"),
+    )

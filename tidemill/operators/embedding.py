@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +69,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dense_dot(a, b), F.sqrt(dense_dot(a, a)) * F.sqrt(dense_dot(b, b))), F.lit(0.0))
 
 
-def cached_embed(df: DataFrame, cache: str, model: str = "hashing", phrase: str = "surface") -> DataFrame:
+def model_embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], phrase: str = "surface") -> DataFrame:
+    """(phrase, vec) of another encoder, scaled to length 1; a zero vector becomes the first axis."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([[float(x) for x in v] for v in encode(s.tolist())])
+
+    t = df.select(F.col(phrase)).where(F.col(phrase).isNotNull()).distinct().withColumn("v", run.asNondeterministic()(F.col(phrase)))
+    t = t.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    unit = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("idx"), (x / F.greatest(F.col("n"), F.lit(1e-9))).alias("w"))), lambda x: x["w"] != 0)
+    return t.select(phrase, F.when(F.col("n") > 1e-9, unit).otherwise(F.array(F.struct(F.lit(0).alias("idx"), F.lit(1.0).alias("w")))).alias("vec"))
+
+
+def cached_embed(df: DataFrame, cache: str, model: str = "hashing", phrase: str = "surface", encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Like :func:`embed`, through a Parquet table of (model, phrase, vec) at ``cache``: only new phrases are computed.
 
-    The table is keyed by model and phrase, so models and dimensions never mix.
+    The table is keyed by model and phrase, so models and dimensions never mix. ``encode`` computes another model's
+    vectors, batch by batch in Python workers.
     """
     spark = df.sparkSession
     wanted = df.select(F.col(phrase)).where(F.col(phrase).isNotNull()).distinct()
@@ -81,5 +99,6 @@ def cached_embed(df: DataFrame, cache: str, model: str = "hashing", phrase: str
         if "PATH_NOT_FOUND" not in str(e):
             raise
         new = wanted
-    embed(new, phrase).select(F.lit(model).alias("model"), phrase, "vec").write.mode("append").parquet(cache)
+    fresh = embed(new, phrase) if encode is None else model_embed(new, encode, phrase)
+    fresh.select(F.lit(model).alias("model"), phrase, "vec").write.mode("append").parquet(cache)
     return spark.read.schema(shape).parquet(cache).where(F.col("model") == model).join(wanted, phrase, "left_semi").select(phrase, "vec")
