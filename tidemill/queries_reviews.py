@@ -66,7 +66,7 @@ def exact_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.near_duplicates(_reviews(spark, sf).where(F.col("clean_text").isNotNull())).select("ingest_seq", "is_duplicate")
+    return dedupe.near_duplicates(_reviews(spark, sf)).select("ingest_seq", "is_duplicate")
 
 
 def split_by_product(spark: SparkSession, sf: str) -> DataFrame:
