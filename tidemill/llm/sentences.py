@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.ranks import order_code
+from tidemill.operators.ranks import BITS, order_code
 
 TRAIN_ROWS = 20_000  # checked sentences from which word scores are learned, a bounded sample by hash
 LOOKBACK = 64  # candidates further back are tried by their best alone: their spans' length scores are all the lowest
@@ -258,9 +258,14 @@ def split_text(text: str, model: Model) -> list[tuple[int, int]]:
 
 
 def learn(sentences: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
-    """A model from at most ``rows`` checked sentences; nulls are passed over, an empty table gives the fixed lists."""
-    s = sentences.where(F.col(text).isNotNull()).select(text).distinct().orderBy(order_code(text), text).limit(rows)
-    return train([r[0] for r in s.collect()])
+    """A model from at most ``rows`` checked sentences; nulls are passed over, an empty table gives the fixed lists.
+
+    The sample is what lies below a hash limit, so that tasks send the driver no more than it keeps.
+    """
+    s = sentences.where(F.col(text).isNotNull()).select(text).distinct().withColumn("code", order_code(text))
+    n = s.count()
+    below = s if n <= rows else s.where(F.col("code") < F.lit((1 << BITS) * rows // n))
+    return train([r[0] for r in below.select(text).limit(rows).collect()])
 
 
 def split_sentences(df: DataFrame, model: Model, key: str = "review_id", text: str = "clean_text") -> DataFrame:
