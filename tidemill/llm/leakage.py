@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import code_points, gram_hashes, is_unspaced, squeeze
+from tidemill.llm.text import chunks, code_points, gram_hashes, is_unspaced, squeeze
 
 WORDS, LETTERS = 12, 25  # a passage: so many words, or letters where the item's script has no spaces
 Q_WORDS, Q_LETTERS = 16, 8
@@ -96,9 +96,13 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(row.get(len(b), most + 1), most + 1)
 
 
-def search(texts: list[str], keys: np.ndarray, x: Index, edits: int) -> list[tuple]:
+def search(texts: list[str], keys: np.ndarray, indexes: list[Index], edits: int) -> list[tuple]:
     """Rows of SCHEMA for a batch of documents."""
     codes = [code_points(squeeze(t)) for t in texts]
+    return [r for x in indexes for r in _search(codes, keys, x, edits)]
+
+
+def _search(codes: list[np.ndarray], keys: np.ndarray, x: Index, edits: int) -> list[tuple]:
     size = np.array([len(c) for c in codes], dtype=np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
     flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
@@ -148,14 +152,19 @@ def search(texts: list[str], keys: np.ndarray, x: Index, edits: int) -> list[tup
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (ip[1:] != ip[:-1] + 1)
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(item))
-    runs = pd.DataFrame({"doc": doc[s], "item": item[s], "a": ip[s], "b": ip[e - 1] + x.q, "d": diag[s]})
+    a_, b_, d_, doc, item = ip[s], ip[e - 1] + x.q, diag[s], doc[s], item[s]
+    order = np.lexsort((b_, a_, item, doc))
+    a_, b_, d_, doc, item = a_[order], b_[order], d_[order], doc[order], item[order]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    ends_ = np.append(cut[1:], len(doc))
+    wide = np.maximum.reduceat(b_, cut) - np.minimum.reduceat(a_, cut) >= x.shortest  # else no chain can hold a passage
     out = []
-    for (d, it), g in runs.groupby(["doc", "item"], sort=True):
+    need = WORDS if x.unit == "words" else LETTERS
+    for lo, hi in zip(cut[wide], ends_[wide], strict=True):
+        d, it = int(doc[lo]), int(item[lo])
         starts, ends, ic, dc = x.starts[it], x.ends[it], x.codes[it], codes[d]
         units = lambda a, b: int(max(0, np.searchsorted(ends, b, side="right") - np.searchsorted(starts, a)))  # noqa: B023, E731
-        need = WORDS if x.unit == "words" else LETTERS
-        g = g.sort_values(["a", "b"])
-        a, b, d2 = g.a.to_numpy(), g.b.to_numpy(), g.d.to_numpy()
+        a, b, d2 = a_[lo:hi], b_[lo:hi], d_[lo:hi]
         exact = max(units(p, r) for p, r in zip(a, b, strict=True))
         best = None
         for i in range(len(a)):  # chain runs over gaps that the edit budget allows
@@ -201,9 +210,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: int = EDITS, block: int
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             for pdf in batches:
-                found = [r for x in sent.value for r in search(list(pdf.text), pdf.doc_key.to_numpy(), x, edits)]
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                for c in chunks(pdf.text.str.len().to_numpy()):
+                    found = search(list(pdf.text[c]), pdf.doc_key.to_numpy()[c], sent.value, edits)
+                    if found:
+                        yield pd.DataFrame(found, columns=names)
 
         parts.append(rows.mapInPandas(scan, SCHEMA))
     out = parts[0]

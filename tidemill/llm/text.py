@@ -27,6 +27,18 @@ def is_unspaced(text: str) -> bool:
     return n > 0 and n >= 0.3 * sum(map(len, LETTERS.findall(text)))
 
 
+CHUNK_CHARS = 2_000_000
+
+
+def chunks(sizes: np.ndarray, most: int = CHUNK_CHARS) -> list[slice]:
+    """Runs of rows of about ``most`` characters together, so that what is worked on at once does not grow with the texts."""
+    if not len(sizes):
+        return []
+    which = (np.cumsum(sizes) - sizes) // most
+    cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    return [slice(int(a), int(b)) for a, b in zip(cut, np.append(cut[1:], len(sizes)), strict=True)]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
