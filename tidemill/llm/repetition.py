@@ -6,6 +6,7 @@ sets of rules, and ablations are then bitwise expressions over the ledger; no te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import LETTERS, code_points, gram_hashes, is_unspaced
+from tidemill.llm.text import LETTERS, chunks, code_points, gram_hashes, is_unspaced
 
 STRETCH_WORDS, STRETCH_LETTERS = 8, 24
 
@@ -24,16 +25,15 @@ class Rule:
     name: str
     limit: float  # a document fails at or above it
     kind: str  # stretch, segment, top or repeated
-    n: int = 0
-    splitter: str = ""
+    n: int = 0  # units of a run; of segments, 0 for sentences, 1 for lines, 2 for paragraphs
 
 
 #: The bit of a rule is its place here: append new rules, never reorder.
 RULES = (
     Rule("long_stretch_share", 0.4, "stretch"),
-    Rule("line_share", 0.3, "segment", splitter="\n"),
-    Rule("paragraph_share", 0.3, "segment", splitter="\n\n"),
-    Rule("sentence_share", 0.3, "segment", splitter="."),
+    Rule("line_share", 0.3, "segment", 1),
+    Rule("paragraph_share", 0.3, "segment", 2),
+    Rule("sentence_share", 0.3, "segment", 0),
     Rule("top_2gram_share", 0.20, "top", 2),
     Rule("top_3gram_share", 0.18, "top", 3),
     Rule("top_4gram_share", 0.16, "top", 4),
@@ -51,59 +51,74 @@ POLICIES = {
     "segments-v1": ("line_share", "paragraph_share", "sentence_share"),
     "full-v1": tuple(r.name for r in RULES),
 }
-_SENTENCE_ENDS = {i: "." for i in map(ord, "!?。！？।؟\n")}
+_SENTENCE_END = re.compile("[.!?。！？।؟]")
 
 
 def policy_mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
 
-def _keys(ids: np.ndarray, doc: np.ndarray, n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a run of n units lies within one document, and the run's key, different in each document."""
-    h = gram_hashes(ids, n)
-    m = len(h)
-    inside = doc[:m] == doc[n - 1 : n - 1 + m]
-    return np.flatnonzero(inside), (h ^ (doc[:m].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))[inside]
+def _repeated(ids: np.ndarray, doc: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, positions, keys, later) for each n, ascending: the runs of n units that stand more than once in their document.
 
-
-def _covered(ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Whether each unit lies in a run of n units that already stood earlier in its document."""
-    at, key = _keys(ids, doc, n)
-    order = np.argsort(key, kind="stable")
-    again = at[order[1:][key[order[1:]] == key[order[:-1]]]]
-    delta = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(delta, again, 1)
-    np.add.at(delta, again + n, -1)
+    A run that stands twice begins with a shorter one that does, so each length looks only at what the last one left.
+    """
+    at = np.arange(len(ids))
+    own = doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for n in lengths:
+        at = at[at + n <= len(ids)]
+        at = at[doc[at] == doc[at + n - 1]]
+        key = gram_hashes(ids, n)[at] ^ own[at]
+        twice = pd.Series(key).duplicated(keep=False).to_numpy()
+        at, key = at[twice], key[twice]
+        yield n, at, key, pd.Series(key).duplicated().to_numpy()
+
+
+def _covered(at: np.ndarray, n: int, units: int) -> np.ndarray:
+    """Whether each unit lies in a run of n units that begins at one of the positions."""
+    delta = np.zeros(units + 1, np.int64)
+    delta[at] += 1
+    np.add.at(delta, at + n, -1)
     return np.cumsum(delta[:-1]) > 0
 
 
-def _top(ids: np.ndarray, doc: np.ndarray, n: int, docs: int) -> np.ndarray:
-    """Occurrences of each document's most frequent run of n units, 0 where none stands twice."""
-    at, key = _keys(ids, doc, n)
+def _top(at: np.ndarray, key: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Occurrences of each document's most frequent run, 0 where none stands twice."""
     out = np.zeros(docs, np.int64)
     if len(at):
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
-        np.maximum.at(out, doc[at[first]], np.where(count > 1, count, 0))
+        which, _ = pd.factorize(key)
+        count = np.bincount(which)
+        np.maximum.at(out, doc[at], count[which])
     return out
 
 
-def _segments(texts: list[str], units_of: list, splitter: str) -> np.ndarray:
+def _cut(text: str) -> tuple[list[list[str]], list[list[str]], list[list[str]]]:
+    """Words of a text by sentence, line and paragraph; each word is found once. Blank lines part paragraphs."""
+    sentences, lines, paragraphs = [], [], [[]]
+    for line in text.casefold().split("\n"):
+        parts = [LETTERS.findall(x) for x in _SENTENCE_END.split(line)]
+        words = [w for p in parts for w in p]
+        sentences += parts
+        lines.append(words)
+        if line.strip():
+            paragraphs[-1] = paragraphs[-1] + words if paragraphs[-1] else words
+        else:
+            paragraphs.append([])
+    return sentences, lines, paragraphs
+
+
+def _again(segments: list[list[str]], letters: bool) -> float:
     """Share of units in segments that already stood earlier in the document."""
-    out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        t = t.translate(_SENTENCE_ENDS) if splitter == "." else t
-        if splitter not in t:
-            continue
-        seen, total, repeated = set(), 0, 0
-        for s in t.split(splitter):
-            key = tuple(LETTERS.findall(s.casefold()))
-            size = sum(map(len, key)) if units_of[i] else len(key)
+    seen, total, repeated = set(), 0, 0
+    for s in segments:
+        if s:
+            size = sum(map(len, s)) if letters else len(s)
             total += size
-            if size and key in seen:
+            key = " ".join(s)
+            if key in seen:
                 repeated += size
             seen.add(key)
-        out[i] = repeated / total if total else 0.0
-    return out
+    return repeated / total if total else 0.0
 
 
 def measure(texts: pd.Series) -> pd.DataFrame:
@@ -112,7 +127,8 @@ def measure(texts: pd.Series) -> pd.DataFrame:
     n = len(plain)
     letters = [is_unspaced(t) for t in plain]
     out: dict[str, np.ndarray] = {r.name: np.zeros(n) for r in RULES}
-    words = [LETTERS.findall(t.casefold()) for t in plain]
+    cuts = [_cut(t) for t in plain]
+    words = [[w for line in c[1] for w in line] for c in cuts]
     for mode in (False, True):
         own = [i for i in range(n) if letters[i] is mode and words[i]]
         if not own:
@@ -125,19 +141,20 @@ def measure(texts: pd.Series) -> pd.DataFrame:
             ids = pd.factorize(np.array([w for p in parts for w in p], dtype=object))[0].astype(np.uint64)
         size = np.array([len(p) for p in parts])
         doc = np.repeat(np.arange(len(own)), size)
-        for r in RULES:
-            scale = STRETCH_LETTERS // STRETCH_WORDS if mode else 1  # three letters stand for a word
-            if r.kind == "segment":
-                continue
-            k = (STRETCH_LETTERS if mode else STRETCH_WORDS) if r.kind == "stretch" else r.n * scale
-            if r.kind == "top":
-                v = np.minimum(1.0, _top(ids, doc, k, len(own)) * k / size)
-            else:
-                v = np.bincount(doc, weights=_covered(ids, doc, k), minlength=len(own)) / size
-            out[r.name][own] = v
+        scale = STRETCH_LETTERS // STRETCH_WORDS if mode else 1  # three letters stand for a word
+        units = {r.name: (STRETCH_WORDS if r.kind == "stretch" else r.n) * scale for r in RULES if r.kind != "segment"}
+        for k, at, key, later in _repeated(ids, doc, sorted(set(units.values()))):
+            for r in RULES:
+                if units.get(r.name) != k:
+                    continue
+                if r.kind == "top":
+                    v = np.minimum(1.0, _top(at, key, doc, len(own)) * k / size)
+                else:
+                    v = np.bincount(doc, weights=_covered(at[later], k, len(ids)), minlength=len(own)) / size
+                out[r.name][own] = v
     for r in RULES:
         if r.kind == "segment":
-            out[r.name] = _segments(plain, letters, r.splitter)
+            out[r.name] = np.array([_again(c[r.n], mode) for c, mode in zip(cuts, letters, strict=True)])
     return pd.DataFrame(out)
 
 
@@ -154,7 +171,9 @@ def repetition_ledger(df: DataFrame, text: str = "text", prefix: str = "") -> Da
     @F.pandas_udf(", ".join(f"{r.name} double" for r in RULES))
     def ledger(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield measure(s)
+            size = s.str.len().fillna(0).to_numpy().astype(np.int64)
+            found = [measure(s[c]) for c in chunks(size)]
+            yield pd.concat(found, ignore_index=True) if found else measure(s)
 
     # so marked, a filter on the bits is not moved below it, which would measure twice
     rows = df.withColumn("_tm", ledger.asNondeterministic()(F.col(text)))
