@@ -37,6 +37,7 @@ _END = regex.compile(r"(?P<run>[.!?…。！？।॥؟．｡]+(?:(?<=[ऀ-ॿ؀
 _THAI_SPACE = regex.compile(r"(?<=\S)[ \t 　]+(?=\S)")
 _QUOTES = regex.compile(r"[\"“”„«»「」『』（）()\[\]【】《》]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-][\p{L}\p{M}\p{N}]+)*")
+_NUMBER = regex.compile(r"[\d.,]+\s+([\p{L}\p{M}]+)")
 _LAST = regex.compile(r"[\p{L}\p{M}\p{N}.]+$")
 _FULL = frozenset("。！？।॥．｡")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -59,7 +60,8 @@ def next_kind(text: str, at: int) -> tuple[str, str, bool]:
     m = _WORD.match(text, i)
     word = m[0].lower() if m else c
     if c.isdigit():
-        return "digit", "9", gap
+        m = _NUMBER.match(text, i)
+        return "digit", f"9 {m[1].lower()}" if m else "9", gap
     if _HAN.match(c) or _THAI.match(c):
         return "unspaced", c, gap
     if c.isupper():
