@@ -29,18 +29,23 @@ def exact_deduplicate(df: DataFrame, **kw: object) -> DataFrame:
 def similar_pairs(df: DataFrame, threshold: float, order: str = "ingest_seq", text: str = "clean_text", n: int = 3) -> DataFrame:
     """(a, b, similarity): all pairs of distinct texts, a before b, with a Jaccard similarity of n-grams of at least ``threshold``.
 
-    Prefix filter: two sets that similar share one of each other's rarest |x| - ceil(t |x|) + 1 n-grams, and their sizes
-    differ by a factor of at most t. Exact copies should be removed first; a and b are values of ``order``.
+    Prefix filter: two sets that similar share at least k of each other's rarest |x| - ceil(t |x|) + k n-grams, for any
+    k, and their sizes differ by a factor of at most t. k grows with the set, so that stock n-grams alone make no
+    candidates; of two sets the smaller k counts. Candidates are verified on the whole sets. Exact copies should be
+    removed first; a and b are values of ``order``.
     """
     keyed = df.select(F.col(order).alias("id"), text_key(F.col(text)).alias("k")).where(F.col("k") != "")
     t = written(keyed.select("id", char_ngrams(F.col("k"), n).alias("g")), "ngrams")
-    grams = t.select("id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    freq = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(freq, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "size", F.explode(F.slice("s", F.lit(1), keep)).alias("x")).select("id", "size", F.col("x.gram").alias("gram"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("size").alias("na"), "gram"), prefix.select(F.col("id").alias("b"), F.col("size").alias("nb"), "gram")
-    cand = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("na") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)).select("a", "b").distinct()
+    grams = t.select("id", F.explode("g").alias("gram")).select("id", F.xxhash64("gram").alias("h"))
+    freq = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("size", F.size("s"))
+    k = F.least(F.lit(8), F.floor(F.col("size") * 0.03).cast("int") + 1)
+    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + k
+    prefix = written(ranked.select("id", "size", k.alias("k"), F.explode(F.slice("s", F.lit(1), F.least(keep, F.col("size")))).alias("x")).select("id", "size", "k", F.col("x.h").alias("h")), "ngram-prefixes")
+    side = lambda c: prefix.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("k").alias(f"k{c}"), "h")
+    near = (F.col("a") < F.col("b")) & (F.col("na") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)
+    shared = side("a").join(side("b"), "h").where(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.least(F.first("ka"), F.first("kb")).alias("k"))
+    cand = shared.where(F.col("n") >= F.col("k")).select("a", "b")
     full = cand.join(t.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(t.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     sim = common / (F.size("ga") + F.size("gb") - common)
