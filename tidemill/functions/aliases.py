@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,17 +24,17 @@ from tidemill.functions.lexicon import (
 
 
 def _any_of(c: Column, words: list[str]) -> Column:
-    return c.rlike("|".join(words))
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words])
 
 
 def aspect_type(surface: Column, context: Column | None = None) -> Column:
     """delivery, packaging, service or seller by words within the surface, then by the sentence, else product."""
-    s = text_key(surface)
+    s = F.lower(surface)  # white space around it makes no difference to what it contains
     out = F
     for kind, words in TYPE_WORDS:
         out = out.when(_any_of(s, words), kind)
     if context is not None:
-        c = text_key(F.coalesce(context, F.lit("")))
+        c = F.lower(F.coalesce(context, F.lit("")))
         out = out.when(_any_of(c, CONTEXT_DELIVERY), "delivery")
         out = out.when(_any_of(c, CONTEXT_PACKAGING) & _any_of(s, CONTEXT_PACKAGING_SURFACE), "packaging")
         out = out.when(_any_of(c, CONTEXT_SERVICE), "service").when(_any_of(c, CONTEXT_SELLER), "seller")
