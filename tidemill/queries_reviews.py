@@ -460,12 +460,12 @@ SQL = {
     "aspect_candidates": f"{_CANDIDATES} SELECT review_id, surface, doc_start_char, doc_end_char, start_char, end_char, confidence FROM mention",
     "typed_aspects": f"""{_CANDIDATES} SELECT review_id, product_id, category, surface, doc_start_char, round(0.85 + CAST('0x' || substr(md5(surface), 1, 8) AS BIGINT) % 13 * 0.01, 2)::DOUBLE AS confidence, aspect_type, 'pseudo' AS origin FROM typed""",
     "aspect_counts": f"{_CANDIDATES} SELECT category, {_resolve(_strip('lower(surface)'))} AS aspect, aspect_type, count(*) AS mentions, count(DISTINCT review_id) AS reviews FROM typed GROUP BY 1, 2, 3",
-    "word_counts": rf"{_CANDIDATES} SELECT len(regexp_split_to_array(surface, '{_WS}+')) AS n_words, count(*) AS n FROM mention GROUP BY 1",
+    "word_counts": rf"{_CANDIDATES} SELECT CAST(len(regexp_split_to_array(surface, '{_WS}+')) AS INTEGER) AS n_words, count(*) AS n FROM mention GROUP BY 1",
     "offset_audit": f"{_CANDIDATES} SELECT count(*) AS n_mentions, 0::BIGINT AS n_broken FROM mention",
     "product_aspect_rollup": f"""{_CANDIDATES} SELECT product_id, aspect_type, count(*) AS mention_count, count(DISTINCT review_id) AS unique_review_count,
       round(avg(round(0.85 + CAST('0x' || substr(md5(surface), 1, 8) AS BIGINT) % 13 * 0.01, 2)::DOUBLE), 6) AS confidence FROM typed GROUP BY 1, 2""",
     "product_rollup": "SELECT product_id, count(*) AS review_count, round(avg(CASE WHEN rating >= 0 THEN rating END), 6) AS average_rating FROM reviews WHERE product_id <> '' GROUP BY 1",
-    "text_lengths": "SELECT category, count(*) AS n, min(length(clean_text)) AS shortest, max(length(clean_text)) AS longest, round(avg(length(clean_text)), 6) AS mean_length FROM reviews WHERE clean_text IS NOT NULL GROUP BY 1",
+    "text_lengths": "SELECT category, count(*) AS n, CAST(min(length(clean_text)) AS INTEGER) AS shortest, CAST(max(length(clean_text)) AS INTEGER) AS longest, round(avg(length(clean_text)), 6) AS mean_length FROM reviews WHERE clean_text IS NOT NULL GROUP BY 1",
     "resolved_aliases": f"SELECT surface, {_resolve(_strip('lower(surface)'))} AS alias, {_type(_strip('lower(surface)'))} AS aspect_type, {_valid(_strip('lower(surface)'))} AS is_valid FROM (SELECT DISTINCT surface FROM ({_NAMES}))",
     "merge_guards": f"""SELECT surface, other, surface = other OR NOT (
         least(surface, other) || '|' || greatest(surface, other) IN {_words_in(["|".join(sorted(p)) for p in DISALLOWED_MERGES])}
@@ -480,7 +480,7 @@ SQL = {
     "centroid_cosine": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
       m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2)
       SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) AS cosine FROM e JOIN m USING (label, i) GROUP BY vec_id""",
-    "bio_spans": f"""SELECT sentence_id, min(s) AS start_char, max(s + length(w)) AS end_char FROM (
+    "bio_spans": f"""SELECT sentence_id, min(s) AS start_char, CAST(max(s + length(w)) AS INTEGER) AS end_char FROM (
         SELECT *, sum(CASE WHEN gold = 'B-ASP' OR (gold = 'I-ASP' AND coalesce(prev, 'O') = 'O') THEN 1 ELSE 0 END) OVER (PARTITION BY sentence_id, text ORDER BY i) AS island
         FROM (SELECT *, lag(gold) OVER (PARTITION BY sentence_id, text ORDER BY i) AS prev FROM ({_BIO}) WHERE length(w) > 0)) WHERE gold <> 'O' GROUP BY sentence_id, text, island""",
     "bio_metrics": f"""SELECT round({_P}, 4) AS precision, round({_R}, 4) AS recall, round({_F}, 4) AS f1, round(({_f('btp', 'bfp', 'bfn')[2]} + {_f('itp', 'ifp', 'ifn')[2]}) / 2, 4) AS macro_f1, round({_F}, 4) AS micro_f1 FROM (
