@@ -186,6 +186,56 @@ def test_an_edited_passage_is_a_leak_but_no_whole_one(spark):
     assert {r["doc_key"] for r in leakage.find_whole_passages(a, b).collect()} == {3}
 
 
+def near(item, text, most):
+    """Whether some part of ``text`` is at most ``most`` edits from ``item``."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row) <= most
+
+
+def leaks(items, docs, edits=1):
+    import numpy as np
+
+    index = [leakage.build_index(items, u, edits) for u in ("words", "letters") if (u == "letters") == leakage.is_unspaced(items[0][1])]
+    return {(r[0], r[1]) for r in leakage.search([t for _, t in docs], np.array([d for d, _ in docs]), index, edits)}
+
+
+@pytest.mark.parametrize("item", ["alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima", "a bc d ef g hij k lm n opq r st", "窓の近くで雨の日に旅行用の予備の充電口はすぐに漏れま"[:25]])
+def test_a_passage_is_found_wherever_its_edit_is(item):
+    docs = []
+    for k in range(len(item)):
+        if item[k] != " ":
+            docs += [item[:k] + "z" + item[k + 1 :], item[:k] + item[k + 1 :], item[:k] + "z" + item[k:]]
+    docs = list(enumerate("vwx " * 9 + d + " yvw" * 9 for d in docs)) + list(enumerate(docs, 10**6))
+    assert leaks([(1, item)], docs) == {(1, d) for d, _ in docs}
+    far = [item[:k] + "zz" + item[k + 2 :] for k in range(3, len(item) - 4) if " " not in item[k : k + 2]]
+    assert leaks([(1, item)], list(enumerate(far))) == set()
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_leaks_equal_edit_distances(edits):
+    r = random.Random(edits)
+    words = lambda n: ["".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(n)]
+    items = [(i, " ".join(words(r.randrange(12, 16)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        t = items[r.randrange(12)][1].split()
+        k = r.randrange(len(t) - 11)
+        part = list(" ".join(t[k : k + 12]))
+        for _ in range(r.randrange(edits + 2)):
+            part[r.randrange(len(part))] = r.choice(["a", "b", "", "ca", "x"])
+        docs.append((d, " ".join([*words(3), "".join(part), *words(3)])))
+    want = set()
+    for i, t in items:
+        w = t.split()
+        want |= {(i, d) for d, x in docs if any(near("".join(w[k : k + 12]), squeeze(x), edits) for k in range(len(w) - 11))}
+    assert leaks(items, docs, edits) == want and 20 < len(want)
+
+
 def test_banded_distance():
     from test_algorithms import distance
 

@@ -2,7 +2,8 @@
 
 Method: q-gram lemma filtering. A passage of L characters with at most e edits shares at least L - q + 1 - q e of its
 q-grams with the document, all in one narrow band of diagonals (document position minus item position). Shared q-grams
-are counted in overlapping bands, bands below the bound are dropped, and the rest is verified by banded alignment.
+are counted in overlapping bands, bands below the bound are dropped, and what is left is extended on both sides, from each
+run of shared q-grams, by banded alignment within the edit budget.
 """
 
 from __future__ import annotations
@@ -96,6 +97,42 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(row.get(len(b), most + 1), most + 1)
 
 
+def reaches(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... ``most`` edits, the most characters of ``a`` that a beginning of ``b`` covers, and that beginning's length.
+
+    The furthest-reaching points of the diagonals within ``most``: exact, in time in proportion to ``most`` squared and the
+    characters that match.
+    """
+    b = b[: len(a) + most]
+
+    def slide(i: int, t: int) -> int:
+        n = min(len(a) - i, len(b) - i - t)
+        if n <= 0:
+            return i
+        odd = a[i : i + n] != b[i + t : i + t + n]
+        k = int(odd.argmax())
+        return i + (k if odd[k] else n)
+
+    far = {0: slide(0, 0)}  # diagonal: characters of ``a``
+    out = [(far[0], far[0])]
+    for k in range(1, most + 1):
+        new = {}
+        for t in range(-k, k + 1):
+            best = far.get(t, -1)
+            if best >= 0:
+                best += int(best < len(a) and best + t < len(b))
+            if far.get(t + 1, len(a)) < len(a):
+                best = max(best, far[t + 1] + 1)
+            if t - 1 in far and far[t - 1] + t <= len(b):
+                best = max(best, far[t - 1])
+            if best >= 0 and best + t >= 0:
+                new[t] = slide(best, t)
+        far = new
+        i, _, t = max((i, -abs(t), t) for t, i in far.items())
+        out.append((i, i + t))
+    return out
+
+
 def search(texts: list[str], keys: np.ndarray, indexes: list[Index], edits: int) -> list[tuple]:
     """Rows of SCHEMA for a batch of documents."""
     codes = [code_points(squeeze(t)) for t in texts]
@@ -157,7 +194,8 @@ def _search(codes: list[np.ndarray], keys: np.ndarray, x: Index, edits: int) ->
     a_, b_, d_, doc, item = a_[order], b_[order], d_[order], doc[order], item[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
     ends_ = np.append(cut[1:], len(doc))
-    wide = np.maximum.reduceat(b_, cut) - np.minimum.reduceat(a_, cut) >= x.shortest  # else no chain can hold a passage
+    # else nothing here can hold a passage: each edit hides at most q of its characters at either end
+    wide = np.maximum.reduceat(b_, cut) - np.minimum.reduceat(a_, cut) >= x.shortest - edits * x.q
     out = []
     need = WORDS if x.unit == "words" else LETTERS
     for lo, hi in zip(cut[wide], ends_[wide], strict=True):
@@ -165,21 +203,17 @@ def _search(codes: list[np.ndarray], keys: np.ndarray, x: Index, edits: int) ->
         starts, ends, ic, dc = x.starts[it], x.ends[it], x.codes[it], codes[d]
         units = lambda a, b: int(max(0, np.searchsorted(ends, b, side="right") - np.searchsorted(starts, a)))  # noqa: B023, E731
         a, b, d2 = a_[lo:hi], b_[lo:hi], d_[lo:hi]
-        exact = max(units(p, r) for p, r in zip(a, b, strict=True))
-        best = None
-        for i in range(len(a)):  # chain runs over gaps that the edit budget allows
-            end, dd, cost = b[i], d2[i], 0
-            for k in range(i + 1, len(a)):
-                if abs(d2[k] - dd) > edits - cost or a[k] > end + edits * (x.q + 1) + 1:
-                    continue
-                p = min(int(a[k]), int(end))
-                gap = banded_distance(ic[min(end, a[k]) : a[k]], dc[min(end, p) + dd : a[k] + d2[k]], edits)
-                gap = max(gap, abs(int(d2[k] - dd)))
-                if b[k] > end and cost + gap <= edits:
-                    end, dd, cost = b[k], d2[k], cost + gap
-            n = units(a[i], end)
-            if n >= need and (best is None or (n, -cost) > (best[0], -best[3])):
-                best = (n, int(a[i]), int(end), cost, int(a[i] + d2[i]), int(end + dd))
+        exact, best = 0, None
+        for p, r, dd in zip(a, b, d2, strict=True):  # every passage holds a run: extend each by what the edit budget allows
+            left = reaches(ic[:p][::-1], dc[max(0, dd - edits) : p + dd][::-1], edits)
+            right = reaches(ic[r:], dc[r + dd : r + dd + len(ic) - r + edits], edits)
+            exact = max(exact, units(p - left[0][0], r + right[0][0]))
+            for k in range(edits + 1):
+                for m in range(edits + 1 - k):
+                    at, end = int(p - left[k][0]), int(r + right[m][0])
+                    n = units(at, end)
+                    if n >= need and (best is None or (n, -k - m) > (best[0], -best[3])):
+                        best = (n, at, end, k + m, int(p + dd - left[k][1]), int(r + dd + right[m][1]))
         if best:
             out.append((int(x.ids[it]), int(keys[d]), best[1], best[2], best[4], best[5], best[3], exact))
     return out
