@@ -238,6 +238,20 @@ def test_aspects_are_the_longest_matches(spark):
     assert aspects.extract_aspects(df.limit(0)).count() == 0
 
 
+def test_aspect_queries_fall_back_where_cleaning_has_not_run(spark, tmp_path):
+    from tidemill import queries_reviews as q
+
+    one, two = "The battery life is poor.", "The sound quality is great."
+    rows = [(1, "a", two, two, two), (2, "a", None, one, "x"), (3, "b", "", one, None), (4, "c", None, "", two), (5, "d", one, two, two), (6, "e", None, None, "")]
+    df = spark.createDataFrame(rows, "ingest_seq long, review_id string, clean_text string, text string, raw_text string")
+    df.withColumns({"product_id": F.lit("p"), "category": F.lit("C")}).write.parquet(f"{tmp_path}/reviews.parquet")
+    got = {(r["review_id"], r["surface"]) for r in q.aspect_candidates(spark, str(tmp_path)).collect()}
+    assert got == {(k, x) for k, t in (("a", one), ("b", one), ("c", two), ("d", one)) for x in greedy(t)}
+    n = q.offset_audit(spark, str(tmp_path)).first()
+    assert n["n_mentions"] == len(got) and n["n_broken"] == 0
+    assert q.aspect_counts(spark, str(tmp_path)).agg(F.sum("mentions")).first()[0] == len(got)
+
+
 def test_filters(spark):
     words = ["it", "they", "the", "thing", "product", "quality", "battery life", "screen", "camera", "great", "the screen", "screen is big", "x", "a b c d e", ""]
     assert values(spark, words, lambda c: aspects.is_valid_aspect(c)) == [False] * 6 + [True] * 3 + [False] * 6

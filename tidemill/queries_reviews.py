@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.aliases import aspect_type, can_merge, resolve_alias
 from tidemill.functions.cleaning import clean_reviews as cleaned
 from tidemill.functions.cleaning import cleaning_counts as counted
-from tidemill.functions.cleaning import stable_id
+from tidemill.functions.cleaning import first_text, stable_id
 from tidemill.functions.lexicon import (
     ACCESSORIES,
     ALIASES,
@@ -120,10 +120,18 @@ def review_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return cut_sentences(_reviews(spark, sf), "ingest_seq").drop("sentence_id")
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of the latest row of each review."""
-    one = _reviews(spark, sf).groupBy("review_id").agg(F.max_by("clean_text", "ingest_seq").alias("clean_text"))
-    return cut_sentences(one, texts=("clean_text",))
+TEXTS = ("clean_text", "text", "raw_text")  # the first that is not empty counts: clean_text is empty where cleaning has not run
+
+
+def _latest(spark: SparkSession, sf: str) -> DataFrame:
+    """(review_id, and TEXTS of its latest row)."""
+    row = F.max_by(F.struct(*TEXTS), "ingest_seq").alias("row")
+    return _reviews(spark, sf).groupBy("review_id").agg(row).select("review_id", "row.*")
+
+
+def _sentences(spark: SparkSession, sf: str, texts: tuple[str, ...] = TEXTS) -> DataFrame:
+    """Sentences of the first of ``texts`` that is not empty in the latest row of each review."""
+    return cut_sentences(_latest(spark, sf), texts=texts)
 
 
 def aspect_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,8 +159,8 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 def offset_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions of the rule-based pipeline, and those whose offsets do not cut their surface out of the review."""
     m = extract_aspects(_sentences(spark, sf)).select("review_id", "surface", "doc_start_char", "doc_end_char")
-    one = _reviews(spark, sf).groupBy("review_id").agg(F.max_by("clean_text", "ingest_seq").alias("clean_text"))
-    cut = F.substring(F.col("clean_text"), F.col("doc_start_char") + 1, F.col("doc_end_char") - F.col("doc_start_char"))
+    one = _latest(spark, sf).select("review_id", first_text(*TEXTS).alias("cut_text"))
+    cut = F.substring(F.col("cut_text"), F.col("doc_start_char") + 1, F.col("doc_end_char") - F.col("doc_start_char"))
     t = m.join(one, "review_id", "left")
     return t.agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if(F.coalesce(cut != F.col("surface"), F.lit(True))).alias("n_broken"))
 
@@ -241,16 +249,16 @@ def bio_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule-based sentences of the reviews with checked ones against those."""
+    """Rule-based sentences of the reviews with checked ones against those, whose offsets are into clean_text."""
     gold = table(spark, sf, "sentences").groupBy("review_id").agg(F.collect_set(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"))).alias("gold"))
-    s = _sentences(spark, sf).join(gold.select("review_id"), "review_id", "left_semi")
+    s = _sentences(spark, sf, ("clean_text",)).join(gold.select("review_id"), "review_id", "left_semi")
     pred = s.groupBy("review_id").agg(F.collect_set(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"))).alias("pred"))
     return spans.span_metrics(gold.join(pred, "review_id", "left"))
 
 
 def overlapping_sentences(spark: SparkSession, sf: str) -> DataFrame:
     gold = table(spark, sf, "sentences").select("review_id", "start_char", "end_char").distinct()
-    return spans.overlapping_spans(gold, _sentences(spark, sf), "review_id")
+    return spans.overlapping_spans(gold, _sentences(spark, sf, ("clean_text",)), "review_id")
 
 
 def review_ids(spark: SparkSession, sf: str) -> DataFrame:
