@@ -166,6 +166,21 @@ def test_closest_subset_is_the_best():
     assert abs(sum(s * n for s, n in big.items()) - 5e8) / 5e8 < 1 and sum(s * n for s, n in groups.closest_subset({1: 10**7}, 123456).items()) == 123456
 
 
+def test_closest_subset_is_exact_at_any_size():
+    total = lambda took: sum(s * n for s, n in took.items())
+    assert abs(total(groups.closest_subset({11: 264_000}, 290_400.0)) - 290_400) <= 5  # 2.9 M rows
+    r = random.Random(6)
+    for low, high, n in ((6, 11, 300_000), (50, 110, 50_000), (1, 2000, 3000), (500, 900, 4000)):
+        sizes = {}
+        for _ in range(n):
+            s = r.randrange(low, high + 1)
+            sizes[s] = sizes.get(s, 0) + 1
+        target = 0.1 * total(sizes)
+        took = groups.closest_subset(sizes, target)
+        assert all(took[s] <= sizes[s] for s in took) and abs(total(took) - target) <= 0.5
+    assert total(groups.closest_subset({10**6: 3, 999_999: 2}, 1_999_998.6)) == 1_999_999
+
+
 # ---- copies
 
 

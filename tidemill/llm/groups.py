@@ -8,6 +8,8 @@ closest to the wanted ones.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,6 @@ from tidemill.operators.ranks import order_code, spread_rank
 from tidemill.session import written
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-MAX_BITS = 1 << 19  # width of a subset-sum bitset: totals beyond it are counted in units of several records
 
 
 def product_groups(df: DataFrame, item: str = "product_id", parent: str = "parent_product_id") -> DataFrame:
@@ -33,45 +34,55 @@ def product_groups(df: DataFrame, item: str = "product_id", parent: str = "paren
 def closest_subset(sizes: dict[int, int], target: float) -> dict[int, int]:
     """How many groups of each size to take so that their total is as close to ``target`` as can be.
 
-    Bit t of a bitset says that t records can be reached; multiplicities enter as 1, 2, 4, ... copies. Ties go to the
-    smaller total. Totals above MAX_BITS are counted in units, sizes rounded down, and the rest is made up for by the
-    smallest groups, one size after the other.
+    Bit t of a bitset says that t records (in units of the sizes' common divisor) can be reached; multiplicities enter as
+    1, 2, 4, ... copies. Ties go to the smaller total. Exact at any size: a bitset is as wide as the target and what filling
+    it up with the largest groups leaves open, and those before each step are kept for one in about the root of the steps,
+    the others made again.
     """
-    total = sum(s * m for s, m in sizes.items())
-    unit = max(1, -(-total // MAX_BITS))
-    items = []
+    sizes = {s: m for s, m in sizes.items() if m > 0}
+    unit = math.gcd(*sizes) or 1
+    items, left = [], target
     for s in sorted(sizes, reverse=True):
         m, k = sizes[s], 1
-        while m > 0 and s // unit:
+        left -= s * min(m, int(left // s))
+        while m > 0:
             items.append((s, min(k, m)))
             m -= min(k, m)
             k *= 2
     want = int(target // unit)
-    limit = (1 << (want * 2 + 2)) - 1  # no total beyond twice the target can be the closest
-    reach, history = 1, []
-    for s, k in items:
-        history.append(reach)
-        reach |= (reach << (s // unit * k)) & limit
+    most = min(int((target + left) // unit) + 1, sum(s * m for s, m in sizes.items()) // unit)  # no total beyond can be closer
+    limit = (1 << (most + 1)) - 1
+    goal = want if 2 * (target - want * unit) <= unit else want + 1  # nothing is closer: no more steps once it is reached
+
+    def grow(reach: int, s: int, k: int) -> int:
+        by = s // unit * k
+        return reach | (reach << by) & limit if by <= most else reach
+
+    block = max(1, math.isqrt(len(items)))
+    reach, kept, steps = 1, [], 0
+    while steps < len(items) and not (reach >> goal) & 1:
+        if steps % block == 0:
+            kept.append(reach)
+        reach = grow(reach, *items[steps])
+        steps += 1
     below = (reach & ((1 << (want + 1)) - 1)).bit_length() - 1
     above = reach >> (want + 1)
     best = below
-    fill = sum(s * m for s, m in sizes.items() if not s // unit)  # what the smallest groups can make up for
     if above:
         up = want + (above & -above).bit_length()
-        if abs(up * unit - target) < max(0.0, target - below * unit - fill):
+        if abs(up * unit - target) < target - below * unit:
             best = up
     taken, at = {}, best
-    for (s, k), before in zip(reversed(items), reversed(history), strict=True):
-        if not (before >> at) & 1:
-            taken[s] = taken.get(s, 0) + k
-            at -= s // unit * k
-    if unit > 1:
-        left = target - sum(s * n for s, n in taken.items())
-        for s in sorted(sizes, reverse=True):
-            n = max(0, min(sizes[s] - taken.get(s, 0), int(left // s)))
-            if n:
-                taken[s] = taken.get(s, 0) + n
-                left -= s * n
+    for n in reversed(range(len(kept))):
+        if (kept[n] >> at) & 1:
+            continue
+        part, before = items[n * block : min(steps, (n + 1) * block)], [kept[n]]
+        for s, k in part[:-1]:
+            before.append(grow(before[-1], s, k))
+        for (s, k), was in zip(reversed(part), reversed(before), strict=True):
+            if not (was >> at) & 1:
+                taken[s] = taken.get(s, 0) + k
+                at -= s // unit * k
     return taken
 
 
