@@ -61,6 +61,15 @@ def test_style_tree_drops_what_every_page_says(spark):
     assert all("rights reserved" in r["clean"] for r in kept)  # too few pages to tell
 
 
+def test_copies_of_one_page_are_not_page_furniture(spark):
+    copies = [(f"c{i}", "site", "<blockquote>Only one page says this</blockquote><p class='x'>and this</p>") for i in range(40)]
+    pages = [(f"r{i}", "site", f"<div><p>Content number {i} is unlike others</p></div><footer class='f'>All rights reserved</footer>") for i in range(40)]
+    df = spark.createDataFrame(copies + pages, "review_id string, source string, raw_text string")
+    t = {r["key"]: r["clean"] for r in markup.clean_fields(df, "review_id", ["raw_text"], "source").collect()}
+    assert all("Only one page says this" in t[k] and "and this" in t[k] for k, _, _ in copies)
+    assert all("rights reserved" not in t[k] and "Content number" in t[k] for k, _, _ in pages)
+
+
 # ---- sentences
 
 CHECKED = ["The lamp works.", "Our cable broke!", "My lid (really!) fits.", "It has approx. 3 parts.", "Dr. Hale came by."] * 5
