@@ -52,6 +52,15 @@ def test_found_and_clean(spark):
     assert markup.parse_fields(df.limit(0), "review_id", ["raw_text"]).count() == 0
 
 
+def test_every_field_with_markup_is_parsed(spark):
+    marked = [" > quote", ">  quote", ">\tquote", "   > quote", " ---", "   -----  ", "-- -", "Title\n  ---\ntext", "text\n\n ---\n\ntext", "- i", "  12) i", "\u0661. i"]
+    plain = ["    > quote", "a > b", "a --- b", ">", "--", ""]
+    assert [t for t in marked if not markup.parse(t)[0]] == [] and [t for t in plain if markup.parse(t)[0]] == []
+    df = spark.createDataFrame([(t, t) for t in marked + plain], "review_id string, raw_text string")
+    nodes = markup.parse_fields(df, "review_id", ["raw_text"])
+    assert {r["key"] for r in markup.found_elements(nodes).where(F.col("element") == "markup").collect()} == set(marked)
+
+
 def test_style_tree_drops_what_every_page_says(spark):
     pages = [(f"r{i}", "site", f"<div><p>Content number {i} is unlike others</p><ul><li>same item</li></ul></div><footer class='f'>All rights reserved</footer>") for i in range(40)]
     df = spark.createDataFrame(pages, "review_id string, source string, raw_text string")
