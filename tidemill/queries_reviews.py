@@ -389,7 +389,8 @@ def _resolve(s: str) -> str:
 
 
 # tokens by splitting at marked tokens; candidate runs of up to four; the longest match by a running maximum
-_SENT = f"SELECT *, row_number() OVER () AS sid FROM ({_sentences_sql(_LATEST, 'review_id')})"
+_LATEST_FIRST = f"SELECT review_id, {_FIRST} AS t FROM reviews QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingest_seq DESC) = 1"
+_SENT = f"SELECT *, row_number() OVER () AS sid FROM ({_sentences_sql(_LATEST_FIRST, 'review_id')})"
 _EDGE, _INNER = r"[^\p{L}\p{N}_]", TOKEN.replace("(?:-", r"(?:-\x03")  # a sign of its own after each separator keeps matches apart
 _TOKENS = rf"""SELECT sid, i, pos AS s, pos + length(piece) AS e FROM (
     SELECT sid, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY sid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (
