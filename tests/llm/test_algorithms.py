@@ -92,16 +92,73 @@ def test_very_long_texts(spark):
     assert [tuple(x) for x in overlap.overlap_pairs(*overlap.overlap_classes(df, s)).collect()] == [("a", "b")]
 
 
+def test_recall_up_to_the_tenth(spark):
+    """Pairs of random letters, edits at random places and evenly spread; all within the tenth."""
+    r = random.Random(21)
+    letters, rows, side, cases = "abcdefghijklmnopqrstuvwxyz", [], [], {}
+    for n in (100, 120, 300, 800):
+        for rate in (0.03, 0.06, 0.09):
+            for spread in ("random", "even"):
+                for i in range(25):
+                    a = [r.choice(letters) for _ in range(n)]
+                    b, m = list(a), int(n * rate)
+                    for at in r.sample(range(n), m) if spread == "random" else [(2 * k + 1) * n // (2 * m) for k in range(m)]:
+                        b[at] = r.choice([x for x in letters if x != a[at]])
+                    key = f"{n}-{rate}-{spread}-{i}"
+                    cases.setdefault((n, rate, spread), []).append((f"{key}a", f"{key}b"))
+                    rows += [(f"{key}a", "s", "".join(a)), (f"{key}b", "s", "".join(b))]
+                    side += [(f"{key}a", "train"), (f"{key}b", "test")]
+    m, links = overlap.overlap_classes(spark.createDataFrame(rows, "review_id string, source string, clean_text string"), spark.createDataFrame(side, "review_id string, split string"))
+    got = {tuple(x) for x in overlap.overlap_pairs(m, links).collect()}
+    recall = {c: len(got & set(p)) / len(p) for c, p in cases.items()}
+    assert got <= {x for p in cases.values() for x in p}
+    assert min(recall.values()) >= 0.96 and len(got) >= 0.99 * sum(map(len, cases.values())), recall
+
+
 def test_winnowing_shares_fingerprints_of_common_runs():
     import numpy as np
 
     r = random.Random(5)
-    counts = np.random.default_rng(1).integers(0, 9, 1 << 12).astype("<u2")
+    sketch = np.random.default_rng(1).integers(0, 12, (2, 1 << 12)).astype(np.uint8)
+    for i in range(300):
+        k, w = overlap.LEVELS[-1]
+        run = "".join(r.choice("abcdef") for _ in range(k + w - 1))
+        picks = []
+        for _ in range(2):
+            x = overlap.code_points("".join(r.choice("abcdef") for _ in range(30)) + run + "".join(r.choice("abcdef") for _ in range(30)))
+            hashes = [np.append(h, np.zeros(len(x) - len(h), np.uint64)) for h in overlap.level_hashes(x, [k for k, _ in overlap.LEVELS])]
+            cells = hashes[-1][30 : 30 + w] & np.uint64(sketch.shape[1] - 1)
+            sketch[:, cells.astype(int)] = np.maximum(sketch[:, cells.astype(int)], 1)  # what both share is held on both sides
+            picks.append((hashes, x))
+        a, b = ({int(h[p]) for h, (at, _) in zip(hashes, overlap.chosen(hashes, overlap.LEVELS, sketch), strict=True) for p in at} for hashes, _ in picks)
+        assert a & b, i
+
+
+def test_chain_and_its_alignment():
+    r = random.Random(8)
     for _ in range(200):
-        run = "".join(r.choice("abcdef") for _ in range(overlap.K + overlap.W - 1))
-        a, b = ("".join(r.choice("abcdef") for _ in range(30)) + run + "".join(r.choice("abcdef") for _ in range(30)) for _ in range(2))
-        fa, fb = (overlap.gram_hashes(overlap.code_points(x), overlap.K) for x in (a, b))
-        assert set(fa[overlap.winnow(fa, counts, overlap.W)]) & set(fb[overlap.winnow(fb, counts, overlap.W)])
+        seeds = [(r.randrange(9), r.randrange(9)) for _ in range(r.randrange(0, 9))]
+        best = max((len(c) for k in range(1 << len(seeds)) for c in [[s for i, s in enumerate(sorted(set(seeds))) if k >> i & 1]] if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))), default=0)
+        assert len(overlap.chain(seeds)) == best
+    for n in (0, 3, 12):
+        a = "".join(r.choice("abcdefghij") for _ in range(3000))
+        b = edit(r, a, n)
+        k = 9
+        seeds = [(i, j) for i in range(0, len(a) - k, 7) for j in [b.find(a[i : i + k])] if j >= 0]
+        assert distance(a[:300], b[:300]) <= n + abs(len(a) - len(b)) and overlap.chained_distance(a, b, seeds, 300) <= n
+    assert overlap.chained_distance("a" * 50, "b" * 50, [], 5) == 6
+
+
+def test_very_long_pairs_are_aligned_along_the_chain(spark):
+    r = random.Random(13)
+    t = sentence(r, 9000)
+    rows = [("a", "s", t), ("b", "s", edit(r, t, 400)), ("c", "s", sentence(r, 9000)), ("d", "s", t[: len(t) // 2] * 2)]
+    df = spark.createDataFrame(rows, "review_id string, source string, clean_text string")
+    s = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "test"), ("d", "test")], "review_id string, split string")
+    m, links = overlap.overlap_classes(df, s)
+    assert [tuple(x) for x in overlap.overlap_pairs(m, links).collect()] == [("a", "b")]
+    d = links.first()
+    assert d["n_chars"] > overlap.LONG and d["distance"] <= 400
 
 
 # ---- groups

@@ -57,3 +57,61 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     h *= _MIX
     h ^= h >> np.uint64(32)
     return h
+
+
+def level_hashes(codes: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """:func:`gram_hashes` for rising lengths in one pass; no hash is 0."""
+    out, n = [], len(codes)
+    c, h = codes.astype(np.uint64), np.zeros(n, np.uint64)
+    for j in range(lengths[-1]):
+        m = max(0, n - j)
+        h = h[:m]
+        h *= _MULT
+        h += c[j : j + m]
+        h += np.uint64(1)
+        if j + 1 in lengths:
+            g = h ^ (h >> np.uint64(29))
+            g *= _MIX
+            g ^= g >> np.uint64(32)
+            out.append(np.maximum(g, np.uint64(1)))
+    return out
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two code point arrays, ``most`` + 1 if it is larger.
+
+    The furthest-reaching points of the diagonals: time in proportion to the distance squared and the characters that match.
+    """
+    la, lb = len(a), len(b)
+    if abs(la - lb) > most:
+        return most + 1
+
+    def slide(i: int, t: int) -> int:
+        step = 64
+        while i < la and i + t < lb:
+            n = min(la - i, lb - i - t, step)
+            odd = a[i : i + n] != b[i + t : i + t + n]
+            k = int(odd.argmax())
+            if odd[k]:
+                return i + k
+            i += n
+            step *= 4
+        return i
+
+    far, goal = {0: slide(0, 0)}, lb - la
+    for d in range(most + 1):
+        if far.get(goal, -1) >= la:
+            return d
+        new = {}
+        for t in range(max(-d - 1, -la), min(d + 1, lb) + 1):
+            best = -1
+            if t in far:
+                best = far[t] + (far[t] < la and far[t] + t < lb)
+            if t + 1 in far and far[t + 1] < la:
+                best = max(best, far[t + 1] + 1)
+            if t - 1 in far and far[t - 1] + t <= lb:
+                best = max(best, far[t - 1])
+            if best >= 0:
+                new[t] = slide(best, t)
+        far = new
+    return most + 1
