@@ -1,8 +1,9 @@
 """Mixing sources to target shares of the tokens.
 
 Method: a low-discrepancy schedule. Slot i of the mixture is the i-th point of the golden-ratio sequence mapped through
-the cumulative shares, so every prefix of the schedule is close to the targets. A source's shuffled documents, one
-shuffle per repeat, form a stream of tokens cut into blocks of equal size; its n-th slot takes its n-th block.
+the cumulative weights, the tokens that each source gives, so every prefix of the schedule is close to the whole. A
+source's shuffled documents, one shuffle per repeat, form a stream of tokens cut into blocks of equal size; its n-th slot
+takes its n-th block.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import base64
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.ranks import BITS, order_code, spread_cumulate, spread_rank
@@ -22,8 +25,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # the session setting spark
 # Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 512
-MAX_SOURCES = 10_000
-GOLDEN = 0.6180339887498949
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's fraction times 2^64
 
 
 @functools.cache
@@ -48,62 +50,63 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None) ->
     return df.withColumn("n_tokens", count.asNondeterministic()(F.col(text)))  # so marked, a filter does not count twice
 
 
-def _schedule(df: DataFrame, slots: int, sources: list[str], shares: list[float]) -> DataFrame:
+def _schedule(spark: SparkSession, slots: int, sources: list[str], weights: list[int]) -> DataFrame:
     """(slot, source, rank): which source fills each slot, and for the how-manieth time."""
-    spark = df.sparkSession
-    bounds, at = [], 0.0
-    for w in shares[:-1]:
-        at += w
-        bounds.append(at)
-    frac = lambda c: c - F.floor(c)
-    high, low = F.floor(F.col("slot") / (1 << 20)), F.pmod("slot", F.lit(1 << 20))
-    # in two parts, so that the fraction keeps its digits for any slot
-    point = frac(frac(high * ((GOLDEN * (1 << 20)) % 1.0)) + frac(low * GOLDEN) + 0.5)
-    index = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= point)) if bounds else F.lit(0)
-    names = F.array(*[F.lit(s) for s in sources])
-    t = spark.range(slots).withColumnRenamed("id", "slot").withColumn("source", F.element_at(names, index + 1))
+    upto = np.cumsum(np.array(weights, dtype=np.float64))
+    sent = spark.sparkContext.broadcast((upto / upto[-1], np.array(sources, dtype=object)))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, names = sent.value
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            point = (slot.astype(np.uint64) * GOLDEN + np.uint64(1 << 63)) / 2.0**64  # modulo 2^64, so exact for any slot
+            which = np.minimum(np.searchsorted(bounds, point, side="right"), len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[which], pa.string())], names=["slot", "source"])
+
+    t = spark.range(slots).withColumnRenamed("id", "slot").mapInArrow(fill, "slot bigint, source string")
     t = t.withColumn("code", F.col("slot") * F.lit(((1 << BITS) - 1) // max(1, slots)))
     return spread_rank(t, ["source"], "code", ["slot"], "rank").drop("code")
 
 
-def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, seed: str = "0", text: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mixture, report) of the largest mixture in which no document stands more often than its source's max_repeats.
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, seed: str = "0", text: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mixture, report): each source with its target share of ``total`` tokens, by default all tokens of ``docs``.
 
-    mixture: (slot, source, doc_id, repeat, token_from, n_tokens): the pieces of each slot's block of ``block`` tokens.
-    report: (source, target_share, reachable_share, available_tokens, tokens, share, repeats).
+    mixture: (slot, source, doc_id, repeat, token_from, n_tokens): the pieces of each slot's block of ``block`` tokens; only
+    a source's last block may be shorter. report: (source, target_share, wanted_tokens, available_tokens, tokens,
+    shortfall, share, repeats); ``share`` is that of the mixture.
 
-    ``docs`` has doc_id, source and text; documents of sources without a target, without a source or without tokens are
-    left out. A target without tokens cannot be met: it is reported with 0, and the others keep their proportions.
-    Targets that are null or not above 0 take no part. A last, partly filled block of a source is not used.
+    A source whose documents do not suffice even if each stands max_repeats times is short by the rest, which is reported;
+    the others get what they want all the same. ``docs`` has doc_id, source and text; documents of sources without a
+    target, without a source or without tokens are left out, though their tokens count for the default total. A target without
+    documents is reported with 0. Targets that are null or not above 0 take no part. The driver holds the targets.
     """
     spark = docs.sparkSession
     wanted = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & F.col("source").isNotNull()).dropDuplicates(["source"])
-    rows = wanted.limit(MAX_SOURCES + 1).select("source", "target_share", "max_repeats").collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    named = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "source string, target_share double, max_repeats int")
-    own = docs.where(F.length(text) > 0).join(F.broadcast(named.select("source")), "source")
-    tok = written(token_counts(own.select("doc_id", "source", text), text, path).where(F.col("n_tokens") > 0).select("doc_id", "source", "n_tokens"), "mix-tokens")
-    have = {r[0]: r[1] for r in tok.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    live = sorted((r for r in rows if have.get(r[0])), key=lambda r: r[0])
-    whole = sum(r[1] for r in live)
-    share = {r[0]: r[1] / whole for r in live}
-    cap = {r[0]: have[r[0]] * r[2] // block for r in live}
-    slots = int(min((cap[s] / share[s] for s in share), default=0)) + 1 if live else 0
-    sources = list(share)
-    sched = written(_schedule(docs, slots, sources, [share[s] for s in sources]), "mix-slots") if slots else None
-    if sched is not None:  # the first slot that would ask a source for more than it has ends the mixture
-        limit = F.element_at(F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(cap[s]))]), F.col("source"))
-        over = sched.where(F.col("rank") > limit).agg(F.min("slot")).first()[0]
-        sched = sched if over is None else sched.where(F.col("slot") < over)
+    rows = [tuple(r) for r in wanted.select("source", "target_share", "max_repeats").orderBy("source").collect()]
+    named = F.broadcast(spark.createDataFrame([(r[0],) for r in rows], "source string"))
+    counted = docs.where(F.length(text) > 0).select("doc_id", "source", text)
+    if total is not None:
+        counted = counted.join(named, "source")
+    tok = written(token_counts(counted, text, path).where(F.col("n_tokens") > 0).select("doc_id", "source", "n_tokens"), "mix-tokens")
+    sums = tok.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    whole = total if total is not None else sums.agg(F.sum("n")).first()[0] or 0
+    have = {r[0]: r[1] for r in sums.join(named, "source").collect()}
+    want = {s: int(share * whole + 1e-9) for s, share, _ in rows}
+    allot = {s: n for s, _, most in rows if (n := min(want[s], have.get(s, 0) * most)) > 0}
+    blocks = {s: -(-n // block) for s, n in allot.items()}
+    slots = sum(blocks.values())
+    info = [(s, share, want[s], have.get(s, 0), allot.get(s, 0), want[s] - allot.get(s, 0), allot.get(s, 0) / max(1, sum(allot.values())), -(-allot[s] // have[s]) if s in allot else 0, blocks.get(s, 0)) for s, share, _ in rows]
+    plan = spark.createDataFrame(info, "source string, target_share double, wanted_tokens bigint, available_tokens bigint, tokens bigint, shortfall bigint, share double, repeats bigint, n_blocks bigint")
+    report = plan.drop("n_blocks")
+
+    if slots:
+        sched = _schedule(spark, slots, list(allot), list(allot.values())).join(F.broadcast(plan.select("source", "n_blocks")), "source").where(F.col("rank") <= F.col("n_blocks"))
+        sched = written(sched.select("slot", "source", "rank"), "mix-slots")
         used = {r[0]: r[1] for r in sched.groupBy("source").count().collect()}
+        rest = [(s, k) for s in allot for k in range(used.get(s, 0) + 1, blocks[s] + 1)]  # what the sequence is off by: few for each source
+        sched = sched.unionByName(spark.createDataFrame([(slots + i, s, k) for i, (s, k) in enumerate(rest)], "slot bigint, source string, rank bigint"))
     else:
-        sched, used = spark.createDataFrame([], "slot bigint, source string, rank bigint"), {}
-    info = [(r[0], r[1], share.get(r[0], 0.0), int(have.get(r[0], 0)), int(used.get(r[0], 0) * block), int(r[2])) for r in rows]
-    info = [(*x, -(-x[4] // x[3]) if x[3] else 0) for x in info]
-    plan = spark.createDataFrame(info, "source string, target_share double, reachable_share double, available_tokens bigint, tokens bigint, max_repeats int, repeats bigint")
-    all_tokens = max(1, sum(x[4] for x in info))
-    report = plan.select("source", "target_share", "reachable_share", "available_tokens", "tokens", (F.col("tokens") / all_tokens).alias("share"), "repeats")
+        sched = spark.createDataFrame([], "slot bigint, source string, rank bigint")
 
     stream = tok.join(F.broadcast(plan.where("repeats > 0").select("source", "available_tokens", "tokens", "repeats")), "source")
     stream = stream.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats"))))
