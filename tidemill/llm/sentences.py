@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemill.operators.ranks import BITS, order_code
 
 TRAIN_ROWS = 20_000  # checked sentences from which word scores are learned, a bounded sample by hash
-LOOKBACK = 64  # candidates further back are tried by their best alone: their spans' length scores are all the lowest
 UNBALANCED, LENGTH_WEIGHT = -14.0, 0.25
+FLAT = 8.0  # no length scores worse than this square of its distance from the mean
 
 # Abbreviations that seldom end a sentence, by language.
 ABBREVIATIONS = """
@@ -72,7 +72,9 @@ def next_kind(text: str, at: int) -> tuple[str, str, bool]:
 
 
 def last_word(text: str, start: int, at: int) -> str:
-    m = _LAST.search(text, max(start, at - 24), at)
+    back = 24
+    while (m := _LAST.search(text, max(start, at - back), at)) and m.start() == at - back > start:
+        back *= 2  # the word may begin further back
     w = m[0].strip(".").lower() if m else ""
     return "9" if w.replace(".", "").isdigit() else w
 
@@ -179,7 +181,8 @@ def _states(line: str) -> tuple[list[tuple[int, tuple[str, ...]]], dict[int, int
     return out, opened
 
 
-def _line_spans(line: str, model: Model) -> list[tuple[int, int]]:
+def _line_spans(line: str, model: Model, flat: float | None = None) -> list[tuple[int, int]]:
+    """The best chain of spans; ``flat`` is for tests, the length from which starts are not told apart one by one."""
     thai = len(_THAI.findall(line)) * 3 >= len(line)
     cands: list[tuple[int, float]] = []
     changes, opened = _states(line)
@@ -217,22 +220,27 @@ def _line_spans(line: str, model: Model) -> list[tuple[int, int]]:
             j += 1
         state.append(cur)
     mu, sigma = model.length
+    flat = flat or math.exp(mu + sigma * math.sqrt(FLAT))  # longer spans all have the same length score, so their best start counts alone
     at = [0] + [p for p, _ in cands]
     best, back = [0.0] + [-math.inf] * len(cands), [0] * (len(cands) + 1)
-    far: dict[tuple[str, ...], int] = {}  # the best start before the window, per open quotations
-    far_any = -1
+    far: dict[tuple[str, ...], int] = {}  # the best start of a longer span, per open quotations
+    far_any, lo = -1, 0
     for j in range(1, len(at)):
         gain = cands[j - 1][1]
-        starts = list(range(j - 1, max(-1, j - 1 - LOOKBACK), -1))
-        if (old := j - 1 - LOOKBACK) >= 0:
-            if state[old] not in far or best[old] > best[far[state[old]]]:
-                far[state[old]] = old
-            if far_any < 0 or best[old] > best[far_any]:
-                far_any = old
-            starts += [x for x in (far.get(state[j], -1), far_any) if x >= 0]
+        while lo < j and at[j] - at[lo] >= flat:
+            if state[lo] not in far or best[lo] >= best[far[state[lo]]]:
+                far[state[lo]] = lo
+            if far_any < 0 or best[lo] >= best[far_any]:
+                far_any = lo
+            lo += 1
+        first = lo
+        if at[j] in inner:  # starts within what closes here are told apart one by one
+            while first > 0 and not line[at[first - 1] : inner[at[j]]].strip():
+                first -= 1
+        starts = [*range(j - 1, first - 1, -1), *(x for x in (far.get(state[j], -1), far_any) if x >= 0)]
         for i in starts:
             z = (math.log(max(1, at[j] - at[i])) - mu) / sigma
-            s = best[i] + gain - LENGTH_WEIGHT * min(8.0, z * z)
+            s = best[i] + gain - LENGTH_WEIGHT * min(FLAT, z * z)
             if state[i] != state[j] or (at[j] in inner and line[at[i] : inner[at[j]]].strip()):
                 s += UNBALANCED  # or what closes here opened within the sentence, which then runs on
             if s > best[j]:
@@ -262,12 +270,12 @@ def split_text(text: str, model: Model) -> list[tuple[int, int]]:
 def learn(sentences: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
     """A model from at most ``rows`` checked sentences; nulls are passed over, an empty table gives the fixed lists.
 
-    The sample is what lies below a hash limit, so that tasks send the driver no more than it keeps.
+    The sample is what lies below a hash limit, so that tasks send the driver little more than it keeps, in the hash's order.
     """
     s = sentences.where(F.col(text).isNotNull()).select(text).distinct().withColumn("code", order_code(text))
     n = s.count()
     below = s if n <= rows else s.where(F.col("code") < F.lit((1 << BITS) * rows // n))
-    return train([r[0] for r in below.select(text).limit(rows).collect()])
+    return train([r[0] for r in below.orderBy("code", text).limit(rows).select(text).collect()])
 
 
 def split_sentences(df: DataFrame, model: Model, key: str = "review_id", text: str = "clean_text") -> DataFrame:
