@@ -1,6 +1,8 @@
+import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -95,3 +97,38 @@ def test_clashing_columns(spark):
 def test_transition_rows_have_a_version():
     rows = transition_rows(["Europe/Berlin", "No/Zone"])
     assert {r[0] for r in rows} == {"Europe/Berlin"} and {r[4] for r in rows} >= {"CET", "CEST"} and all(r[1] for r in rows)
+
+
+def test_zones_have_rules_in_any_year():
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    epoch = datetime(1970, 1, 1)
+    r = random.Random(3)
+    for name in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Tokyo", "America/Sao_Paulo", "Europe/London", "America/Santiago"):
+        zone, t = ZoneInfo(name), zone_table(name)
+        for _ in range(300):
+            d = datetime(r.choice([r.randrange(1810, 2100), r.randrange(2100, 9998)]), r.randrange(1, 13), r.randrange(1, 29), r.randrange(24), r.randrange(60), r.randrange(60))
+            own = d.replace(tzinfo=zone)
+            if own.utcoffset() != own.replace(fold=1).utcoffset():
+                continue  # a gap or overlap
+            want = (d - own.utcoffset() - epoch) // timedelta(seconds=1)
+            assert int(t.to_utc(np.array([(d - epoch) // timedelta(seconds=1)]))[0]) == want, (name, d)
+
+
+def test_long_strings_are_read_too():
+    s = pd.Series(["1700000000." + "5" * 300, "x" * 100_000, " " * 500 + "2024-01-01"])
+    v, ok = parse(s, pd.Series(["UTC"] * 3), pd.Series(["YMD"] * 3))
+    assert ok.tolist() == [True, False, True] and v[0] == 1_700_000_000_555 and v[2] == 1704067200000
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemill.session import shared_dir
+
+    fake = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(fake("yarn", "hdfs:///x/")) == "hdfs:///x"
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master, None))

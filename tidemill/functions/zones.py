@@ -12,7 +12,24 @@ from zoneinfo import TZPATH, ZoneInfo
 import numpy as np
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-FIRST, LAST = 1900, 2100  # years covered by the tables
+FIRST, LAST = 1800, 2100  # years covered by the tables; earlier ones have no rules, later ones repeat those of 2072 to 2099
+_LAST_SECOND = (datetime(LAST, 1, 1, tzinfo=UTC) - EPOCH) // timedelta(seconds=1)
+
+
+def _like_before(local: np.ndarray) -> np.ndarray:
+    """Times from LAST on moved to a year before it that begins on the same week day and is as long: the same rules hold."""
+    late = local >= _LAST_SECOND
+    if not late.any():
+        return local
+    year = local[late].astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64) + 1970
+    begin = lambda y: (y - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+    kind = lambda y: (begin(y) % 7) * 2 + (begin(y + 1) - begin(y) == 366)
+    cycle = np.arange(LAST - 28, LAST)  # every kind of year is among any 28 without a century between
+    same = np.zeros(14, np.int64)
+    same[kind(cycle)] = cycle
+    out = local.copy()
+    out[late] += (begin(same[kind(year)]) - begin(year)) * 86400
+    return out
 
 
 @functools.cache
@@ -43,14 +60,14 @@ class ZoneTable:
     turns: np.ndarray
 
     def to_utc(self, local: np.ndarray) -> np.ndarray:
-        return local - self.offsets[np.searchsorted(self.turns, local, side="right")]
+        return local - self.offsets[np.searchsorted(self.turns, _like_before(local), side="right")]
 
     def named_offset(self, name: str, local: np.ndarray) -> np.ndarray | None:
         """The offset that the abbreviation has in this zone: where it names several, the one in force nearest before."""
         at = np.array([i for i, n in enumerate(self.names) if n.upper() == name.upper()])
         if not len(at):
             return None
-        starts = self.starts[at]
+        starts, local = self.starts[at], _like_before(local)
         i = np.clip(np.searchsorted(starts, local - self.offsets[at[-1]] + 7200, side="right") - 1, 0, len(at) - 1)
         return self.offsets[at[i]]
 

@@ -22,8 +22,8 @@ from tidemill.session import bounded_broadcast
 # English month names, week days, and the unit of an epoch by its number of digits.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+LONG_MASK = 200  # masks of longer strings are planned anew each time, so that what is kept stays small
 EPOCH_DIGITS = {9: "s", 10: "s", 12: "ms", 13: "ms", 15: "us", 16: "us", 18: "ns", 19: "ns"}
-LONGEST = 80  # no notation of a time is longer; longer strings denote none
 FEED_ROWS = 10_000  # a feeds table of more rows is joined by a shuffle
 
 _TO_MASK = {i: "9" for i in range(48, 58)} | {i: "a" for i in [*range(65, 91), *range(97, 123)]}
@@ -53,8 +53,6 @@ def mask_of(s: str) -> str:
 @functools.lru_cache(maxsize=65536)
 def plan(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """('epoch' or 'civil', field -> (start, end)) for a mask, None if strings of that mask denote no time."""
-    if len(mask) > LONGEST:
-        return None
     if (m := _EPOCH.fullmatch(mask)) and len(m["int"]) in EPOCH_DIGITS and not (m["frac"] and EPOCH_DIGITS[len(m["int"])] != "s"):
         return "epoch", {k: m.span(k) for k in m.groupdict() if m[k]}
     if m := _MASK.fullmatch(mask) or _MASK_PLAIN.fullmatch(mask):
@@ -196,7 +194,7 @@ def parse(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> tuple[np.nda
     order = np.argsort(which, kind="stable")
     starts = np.searchsorted(which[order], np.arange(len(masks) + 1))
     for k, mask in enumerate(masks):
-        p = plan(mask)
+        p = (plan if len(mask) <= LONG_MASK else plan.__wrapped__)(mask)
         if p is None or not mask:
             continue
         rows = order[starts[k] : starts[k + 1]]
@@ -209,8 +207,8 @@ def parse(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> tuple[np.nda
 def normalise_timestamps(df: DataFrame, feeds: DataFrame, column: str = "timestamp", source: str = "source", prefix: str = "") -> DataFrame:
     """Adds epoch_ms BIGINT, time_mask STRING and zone_version STRING (each with ``prefix``) to every row of ``df``.
 
-    epoch_ms is null where the string is null, empty, longer than any notation, names no possible date or time, or has
-    an abbreviation unknown in its zone, or is local while its source has no known zone. Rows stay as they are,
+    epoch_ms is null where the string is null, empty, in no known notation, names no possible date or time, or has
+    an abbreviation unknown in its zone, or is local while its source has no known zone; a second 60 is no possible time. Rows stay as they are,
     repeated ones too; ``feeds`` (source unique, time_zone, date_order) may lack a source. Added names must not clash
     with the columns of ``df``; choose a prefix if they do.
     """
