@@ -76,6 +76,59 @@ def test_loader_reads_all_formats_and_reports_bad_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "errors")).count() == 1
 
 
+def test_files_of_the_same_fields_are_one_scan(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"x y{i:02}.jsonl").write_text("".join(json.dumps({"text": f"t{i}-{k}", "asin": f"A{i}"}) + "\n" for k in range(3)))
+    (tmp_path / "z.jsonl").write_text('{"review_body": "other fields", "product_id": "Z"}\n')
+    (tmp_path / "empty.jsonl").write_text("")
+    df, errors = src.load_reviews(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    got = sorted((r["source"], r["text"]) for r in df.collect())
+    assert got == sorted([(f"x y{i:02}", f"t{i}-{k}") for i in range(12) for k in range(3)] + [("z", "other fields")])
+    assert [p.rsplit("/", 1)[1] for p, _ in errors] == ["empty.jsonl"]
+    assert [r["text"] for r in src.load_reviews(spark, str(tmp_path), max_reviews=4)[0].collect()] == ["t0-0", "t0-1", "t0-2", "t1-0"]
+
+
+def test_small_files_go_through_the_file_system(spark, tmp_path):
+    from tidemill.sources import files
+
+    path = f"file://{tmp_path}/deep/er/x.json"
+    sinks.write_json({"a": "ü"}, path)
+    assert sinks.read_json(path) == {"a": "ü"} == sinks.read_json(str(tmp_path / "deep/er/x.json"))
+    assert files.exists(path) and not files.exists(f"file://{tmp_path}/no") and files.read_text(f"file://{tmp_path}/no") is None
+    assert [f for f, _, _ in files.list_files(f"file://{tmp_path}")][-1].endswith("/deep/er/x.json") and files.list_files(str(tmp_path / "no")) == []
+
+
+def test_languages_of_documents(spark):
+    from tidemill.functions.language import detect_language
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(lang) = 2 AND length(text) >= 60")
+    got = d.select("lang", detect_language(F.col("text")).alias("own")).groupBy(F.expr("lang = own").alias("same")).count().collect()
+    n = {r["same"]: r["count"] for r in got}
+    assert n.get(True, 0) >= 0.97 * sum(n.values())
+    assert values(spark, [None, "", "123 !", "xyzzy"], detect_language) == [None] * 4
+    df = spark.createDataFrame([("The lamp was very good and it works for us",), ("Die Lampe ist sehr gut und nicht teuer",)], "text string").withColumns({"title": F.lit(""), "raw_text": F.lit(""), "clean_text": F.lit("")})
+    assert [r["text"][:3] for r in cl.clean_reviews(df, 5, "de").collect()] == ["Die"]
+
+
+def test_candidates_have_a_type_of_their_own(spark):
+    from tidemill.functions.aliases import candidate_type
+
+    assert values(spark, ["Fast Shipping", "bubble wrap", "refund", "the store", "screen", "courier"], candidate_type) == ["delivery", "packaging", "service", "seller", "product", "product"]
+
+
+def test_a_model_that_cannot_be_loaded_shows(spark):
+    s = spark.createDataFrame([("s1", "r1", "The battery life is short.", 0)], "sentence_id string, review_id string, text string, start_char int")
+
+    def load():
+        raise OSError("no weights")
+
+    with pytest.warns(UserWarning):
+        assert {r["origin"] for r in aspects.model_aspects(s, load).collect()} == {"fallback"}
+    with pytest.raises(OSError):
+        aspects.model_aspects(s, load, fallback=False)
+
+
 def test_chunks(spark):
     got = [r["chunk_id"] for r in src.chunked(spark.range(0, 2500).withColumnRenamed("id", "ingest_seq"), 1000).orderBy("ingest_seq").collect()]
     assert got == [i // 1000 for i in range(2500)]
@@ -427,6 +480,9 @@ def test_settings():
     assert settings_hash(s) != settings_hash(load_settings("smoke")) == settings_hash(load_settings("smoke"))
     with pytest.raises(ValueError):
         load_settings("smoke", {"no.such": 1})
+    y = "# settings\nseed: 7\ndata:\n  min_chars: 9 # short ones\n  language: 'de'\nclustering:\n  eps: 0.5\n"
+    s = load_settings("smoke", ["clustering.eps=0.1"], y)
+    assert (s.seed, s.data.min_chars, s.data.language, s.clustering.eps, s.data.max_reviews) == (7, 9, "de", 0.1, 500)
 
 
 def test_pipeline_end_to_end(spark, corpus, tmp_path):
@@ -439,6 +495,10 @@ def test_pipeline_end_to_end(spark, corpus, tmp_path):
     a, b = (run(corpus).mentions for _ in range(2))
     assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
     assert audit.broken_offsets(t.limit(3).withColumn("start_char", F.col("start_char") + 1), run(corpus).sentences).count() == 3
+    corpus.limit(40).write.parquet(str(tmp_path / "raw"))
+    one = main(["--profile", "smoke", "--out", out, "--set", "dedupe=true", "--cleaned", str(tmp_path / "raw")], spark)
+    assert one["reviews"] <= 40 and one != m  # other inputs, so nothing is taken from before
+    assert main(["--profile", "smoke", "--out", out, "--set", "dedupe=true", "--cleaned", str(tmp_path / "raw")], spark) == sinks.read_json(f"{out}/metrics.json")
 
 
 def test_streams(spark, corpus, tmp_path):

@@ -12,6 +12,7 @@ from tidemill.functions.cleaning import text_key
 from tidemill.functions.lexicon import (
     ACCESSORIES,
     ALIASES,
+    CANDIDATE_TYPE_WORDS,
     CONTEXT_DELIVERY,
     CONTEXT_PACKAGING,
     CONTEXT_PACKAGING_SURFACE,
@@ -41,6 +42,15 @@ def aspect_type(surface: Column, context: Column | None = None) -> Column:
     return out.otherwise("product")
 
 
+def candidate_type(surface: Column) -> Column:
+    """delivery, packaging, service or seller by words within the surface, else product: the type of a candidate as it is found."""
+    s = F.lower(surface)
+    out = F
+    for kind, words in CANDIDATE_TYPE_WORDS:
+        out = out.when(_any_of(s, words), kind)
+    return out.otherwise("product")
+
+
 def alias_table(custom: dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> dict[str, str]:
     """Built-in aliases, then custom ones, then overrides; later ones win. Keys and values are lower case, stripped."""
     low = lambda d: {str(k).lower().strip(): str(v).lower().strip() for k, v in (d or {}).items()}

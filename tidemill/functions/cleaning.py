@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
+from tidemill.functions.language import detect_language
 from tidemill.functions.lexicon import CONTROL, EMAIL, HTML_ENTITY, HTML_TAG, URL
 
 
@@ -88,15 +89,17 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
 def clean_reviews(df: DataFrame, min_chars: int = 20, language: str | None = None, lang: str = "lang") -> DataFrame:
     """Rows with text and clean_text cleaned, title cleaned, raw_text kept or else filled, short rows left out.
 
-    Empty results, and those under ``min_chars`` characters, are dropped; with a ``language``, rows whose ``lang``
-    column names another one are too (a null stays). The order of rows and all other columns stay.
+    Empty results, and those under ``min_chars`` characters, are dropped; with a ``language``, rows of another one are
+    too, by the ``lang`` column, or as detected from the clean text where there is no such column; a null stays. The
+    order of rows and all other columns stay.
     """
     t = df.withColumn("raw_text", first_text("raw_text", "text"))
     body = clean(first_text("text", "raw_text"))
     t = t.withColumns({"text": body, "title": clean(F.col("title"))}).withColumn("clean_text", F.col("text"))
     t = t.where((F.length("clean_text") > 0) & (F.length("clean_text") >= min_chars))
-    if language is not None and lang in df.columns:
-        t = t.where(F.col(lang).isNull() | (F.lower(F.col(lang)) == language.lower()))
+    if language is not None:
+        own = F.lower(F.col(lang)) if lang in df.columns else detect_language(F.col("clean_text"))
+        t = t.where(F.coalesce(own == language.lower(), F.lit(True)))
     return t
 
 

@@ -50,10 +50,17 @@ ALIASES = {
 
 # Kinds of aspects by words within the surface, in order of precedence, then by words in the sentence.
 TYPE_WORDS = [
-    ("delivery", "delivery|shipping|shipped|shipment|carrier|ups|fedex|usps|dhl|transit|delivered|arrived|arrival|courier|tracking|package transit".split("|")),
-    ("packaging", "packaging|box|package|bubble wrap|unboxing|container|wrapped|wrapping|seal|packaged".split("|")),
-    ("service", "customer service|customer support|support|warranty|refund|return|replacement|representative|helpdesk|call center|repair|policy|guarantee".split("|")),
-    ("seller", "seller|merchant|vendor|store|dealer|dealership|third-party seller|retailer|fulfillment".split("|")),
+    ("delivery", ["delivery", "shipping", "shipped", "shipment", "carrier", "ups", "fedex", "usps", "dhl", "transit", "delivered", "arrived", "arrival", "courier", "tracking", "package transit"]),
+    ("packaging", ["packaging", "box", "package", "bubble wrap", "unboxing", "container", "wrapped", "wrapping", "seal", "packaged"]),
+    ("service", ["customer service", "customer support", "support", "warranty", "refund", "return", "replacement", "representative", "helpdesk", "call center", "repair", "policy", "guarantee"]),
+    ("seller", ["seller", "merchant", "vendor", "store", "dealer", "dealership", "third-party seller", "retailer", "fulfillment"]),
+]
+# The shorter lists by which a candidate is typed as it is found.
+CANDIDATE_TYPE_WORDS = [
+    ("delivery", ["delivery", "shipping", "shipped", "arrived", "carrier", "ups", "fedex", "usps", "transit"]),
+    ("packaging", ["packaging", "box", "package", "wrapped", "wrapping", "unboxing", "bubble wrap", "container"]),
+    ("service", ["customer service", "support", "warranty", "refund", "return", "replacement", "representative"]),
+    ("seller", ["seller", "merchant", "vendor", "store", "dealership"]),
 ]
 CONTEXT_DELIVERY = ["amazon delivered", "amazon shipped", "amazon arrived", "amazon delivery"]
 CONTEXT_PACKAGING = ["arrived damaged in box", "opened the packaging", "poor packaging"]
@@ -82,3 +89,14 @@ URL = r"""https?://[^\s<>"']+|www\.[^\s<>"']+"""
 EMAIL = r"\S+@\S+\.\S+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)?"
+
+# Frequent words of languages in Latin letters, by which a text's language is told.
+LANGUAGE_WORDS = {
+    "en": "the and of to is was it for with that this not but have my from are after very".split(),
+    "de": "der die das und ist nicht ein eine mit für auf den von sehr war im nach aber bei".split(),
+    "fr": "le la les et est une des pas pour dans que du avec très sur ce mais au était".split(),
+    "es": "el la los y es una de no para con que del en muy por se pero las este".split(),
+    "it": "il la che e di non una per con sono del molto questo ma della gli anche nel".split(),
+    "pt": "o a que e de não uma para com os do da em muito este mas foi por na".split(),
+    "nl": "de het een en is niet van met voor op dat maar zeer was deze bij naar ook".split(),
+}

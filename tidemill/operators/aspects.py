@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.aliases import aspect_type
+from tidemill.functions.aliases import aspect_type, candidate_type
 from tidemill.functions.lexicon import COPULAS_AND_CONJUNCTIONS, GENERIC_NOUNS, OPINION_WORDS, PRONOUNS, STANDALONE_GENERIC, STOPWORDS, TOKEN
 from tidemill.functions.pieces import with_starts
 from tidemill.operators.spans import spans_from_bio
@@ -89,7 +90,7 @@ def longest(spans: Column) -> Column:
 
 
 def extract_aspects(sentences: DataFrame, min_chars: int = 2, max_words: int = MAX_WORDS, allow_generic: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per aspect phrase: the sentence's id and review_id, ``keep``, surface, offsets in sentence and document, confidence.
+    """One row per aspect phrase: the sentence's id and review_id, ``keep``, surface, offsets in sentence and document, confidence, type.
 
     ``sentences`` has sentence_id, review_id, text and start_char. Null texts give none. No shuffle: candidates of a
     sentence are made, filtered and reduced to longest matches within its row.
@@ -115,6 +116,7 @@ def extract_aspects(sentences: DataFrame, min_chars: int = 2, max_words: int = M
         F.when(s["n"] > 1, 0.7).otherwise(0.5).alias("confidence"),
         F.lit("weak").alias("origin"),
         F.col("text").alias("sentence"),
+        candidate_type(cut(s)).alias("aspect_type"),
     )
 
 
@@ -134,16 +136,20 @@ def with_reviews(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
 TAGS = "offsets array<struct<start: int, end: int>>, labels array<string>, confidence array<double>"
 
 
-def model_aspects(sentences: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple]]], keep: tuple[str, ...] = ()) -> DataFrame:
+def model_aspects(sentences: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple]]], keep: tuple[str, ...] = (), fallback: bool = True) -> DataFrame:
     """Aspect phrases by a token classifier, in the columns of :func:`typed_mentions`.
 
     ``load()`` runs once on the driver, as a check, and once per Python worker; what it returns takes a batch of texts and gives
-    (offsets, labels, confidences) for each. If it cannot be loaded, the rules take its place. Null texts give none.
+    (offsets, labels, confidences) for each. If it cannot be loaded, the rules take its place, with a warning and the origin
+    'fallback'; without ``fallback`` the error is raised. Null texts give none.
     """
     try:
         load()
-    except Exception:  # noqa: BLE001
-        return typed_mentions(extract_aspects(sentences, keep=keep))
+    except Exception as e:  # noqa: BLE001
+        if not fallback:
+            raise
+        warnings.warn(f"the model cannot be loaded, rules take its place: {e}", stacklevel=2)
+        return typed_mentions(extract_aspects(sentences, keep=keep)).withColumn("origin", F.lit("fallback"))
 
     @F.pandas_udf(TAGS)
     def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -86,7 +86,7 @@ def model_embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]],
 def cached_embed(df: DataFrame, cache: str, model: str = "hashing", phrase: str = "surface", encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Like :func:`embed`, through a Parquet table of (model, phrase, vec) at ``cache``: only new phrases are computed.
 
-    The table is keyed by model and phrase, so models and dimensions never mix. ``encode`` computes another model's
+    The table is keyed by model and phrase, so models and dimensions never mix; what several runs added at once counts once. ``encode`` computes another model's
     vectors, batch by batch in Python workers.
     """
     spark = df.sparkSession
@@ -101,4 +101,4 @@ def cached_embed(df: DataFrame, cache: str, model: str = "hashing", phrase: str
         new = wanted
     fresh = embed(new, phrase) if encode is None else model_embed(new, encode, phrase)
     fresh.select(F.lit(model).alias("model"), phrase, "vec").write.mode("append").parquet(cache)
-    return spark.read.schema(shape).parquet(cache).where(F.col("model") == model).join(wanted, phrase, "left_semi").select(phrase, "vec")
+    return spark.read.schema(shape).parquet(cache).where(F.col("model") == model).join(wanted, phrase, "left_semi").groupBy(phrase).agg(F.first("vec").alias("vec"))

@@ -68,14 +68,30 @@ def _coerce(v: Any) -> Any:
     return None if v.lower() in ("none", "null", "") else v
 
 
-def load_settings(profile: str = "dev", overrides: dict[str, Any] | list[str] | None = None) -> Settings:
-    """Defaults, then the profile's values, then overrides ('section.key=value' strings or a dict)."""
+def read_settings(text: str) -> dict[str, Any]:
+    """'section.key' to value from a YAML document of scalars and sections by indentation; comments and lists are passed over."""
+    out: dict[str, Any] = {}
+    path: list[tuple[int, str]] = []
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        at = len(body) - len(body.lstrip())
+        key, colon, value = body.strip().partition(":")
+        if not colon or key.startswith(("#", "-")):
+            continue
+        path = [p for p in path if p[0] < at] + [(at, key.strip())]
+        if value.strip():
+            out[".".join(k for _, k in path)] = value.strip().strip("'\"")
+    return out
+
+
+def load_settings(profile: str = "dev", overrides: dict[str, Any] | list[str] | None = None, text: str | None = None) -> Settings:
+    """Defaults, then a YAML document's values, then the profile's, then overrides ('section.key=value' strings or a dict)."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile}")
     if isinstance(overrides, list):
         overrides = dict(x.split("=", 1) for x in overrides)
     s = Settings(profile=profile)
-    for key, v in {**PROFILES[profile], **(overrides or {})}.items():
+    for key, v in {**(read_settings(text) if text else {}), **PROFILES[profile], **(overrides or {})}.items():
         *path, name = key.split(".")
         at: Any = s
         for p in path:

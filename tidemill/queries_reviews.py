@@ -12,6 +12,7 @@ from tidemill.functions.cleaning import first_text, stable_id
 from tidemill.functions.lexicon import (
     ACCESSORIES,
     ALIASES,
+    CANDIDATE_TYPE_WORDS,
     COPULAS_AND_CONJUNCTIONS,
     DISALLOWED_MERGES,
     GENERIC_MODIFIERS,
@@ -27,7 +28,7 @@ from tidemill.functions.lexicon import (
 )
 from tidemill.functions.pieces import with_starts
 from tidemill.operators import audit, clustering, dedupe, embedding, sampling, spans
-from tidemill.operators.aspects import extract_aspects, is_valid_aspect, typed_mentions, with_reviews
+from tidemill.operators.aspects import extract_aspects, is_valid_aspect, typed_mentions
 from tidemill.operators.sentences import review_sentences as cut_sentences
 from tidemill.session import table, texts
 from tidemill.sources.reviews import chunked, normalise
@@ -123,23 +124,31 @@ def review_sentences(spark: SparkSession, sf: str) -> DataFrame:
 TEXTS = ("clean_text", "text", "raw_text")  # the first that is not empty counts: clean_text is empty where cleaning has not run
 
 
-def _latest(spark: SparkSession, sf: str) -> DataFrame:
-    """(review_id, and TEXTS of its latest row)."""
-    row = F.max_by(F.struct(*TEXTS), "ingest_seq").alias("row")
+def _latest(spark: SparkSession, sf: str, texts: tuple[str, ...] = TEXTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(review_id, text, and ``keep`` of its latest row): text is the first of ``texts`` that is not empty."""
+    row = F.max_by(F.struct(first_text(*texts).alias("text"), *keep), "ingest_seq").alias("row")
     return _reviews(spark, sf).groupBy("review_id").agg(row).select("review_id", "row.*")
 
 
-def _sentences(spark: SparkSession, sf: str, texts: tuple[str, ...] = TEXTS) -> DataFrame:
+def _sentences(spark: SparkSession, sf: str, texts: tuple[str, ...] = TEXTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sentences of the first of ``texts`` that is not empty in the latest row of each review."""
-    return cut_sentences(_latest(spark, sf), texts=texts)
+    return cut_sentences(_latest(spark, sf, texts, keep), texts=("text",), keep=keep)
 
 
 def aspect_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return extract_aspects(_sentences(spark, sf)).select("review_id", "surface", "doc_start_char", "doc_end_char", "start_char", "end_char", "confidence")
 
 
+def candidate_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates per type as found, before the sentence is looked at."""
+    return extract_aspects(_sentences(spark, sf)).groupBy("aspect_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("surface").alias("surfaces"))
+
+
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return with_reviews(typed_mentions(extract_aspects(_sentences(spark, sf))), _reviews(spark, sf))
+    """Typed mentions with product_id and category of the review's latest row, '' where it has none."""
+    keep = ("product_id", "category")
+    m = typed_mentions(extract_aspects(_sentences(spark, sf, keep=keep), keep=keep))
+    return m.withColumns({c: F.coalesce(c, F.lit("")) for c in keep})
 
 
 def typed_aspects(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +168,7 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 def offset_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions of the rule-based pipeline, and those whose offsets do not cut their surface out of the review."""
     m = extract_aspects(_sentences(spark, sf)).select("review_id", "surface", "doc_start_char", "doc_end_char")
-    one = _latest(spark, sf).select("review_id", first_text(*TEXTS).alias("cut_text"))
+    one = _latest(spark, sf).withColumnRenamed("text", "cut_text")
     cut = F.substring(F.col("cut_text"), F.col("doc_start_char") + 1, F.col("doc_end_char") - F.col("doc_start_char"))
     t = m.join(one, "review_id", "left")
     return t.agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if(F.coalesce(cut != F.col("surface"), F.lit(True))).alias("n_broken"))
@@ -284,7 +293,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_reviews, cleaning_counts, normalised_payloads, exact_duplicates, exact_dedupe, near_duplicates, split_by_product, split_random, split_leaks, split_sizes,
-        sample_by_category, sample_by_product, sample_by_rating, random_sample, unseen_products, unseen_categories, review_chunks, review_sentences, aspect_candidates,
+        sample_by_category, sample_by_product, sample_by_rating, random_sample, unseen_products, unseen_categories, review_chunks, review_sentences, aspect_candidates, candidate_types,
         typed_aspects, aspect_counts, word_counts, offset_audit, product_rollup, product_aspect_rollup, text_lengths, resolved_aliases, merge_guards, phrase_vectors,
         similar_phrases, aspect_clusters, surface_map, top_clusters, centroid_cosine, bio_spans, bio_metrics, span_metrics, overlapping_sentences, review_ids, windowed_events,
     )
@@ -352,6 +361,7 @@ def _sentences_sql(source: str, key: str, keep: str = "") -> str:
       CAST(pos + length(piece) - length(regexp_replace(piece, '^{_WS}+', '')) AS INTEGER) AS start_char FROM ({at}) WHERE {_strip('piece')} <> ''"""
 
 
+_LATEST_CLEAN = "SELECT review_id, clean_text AS t FROM reviews QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingest_seq DESC) = 1"
 _LATEST = "SELECT review_id, arg_max(clean_text, ingest_seq) FILTER (clean_text IS NOT NULL) AS t FROM reviews WHERE clean_text IS NOT NULL GROUP BY review_id"
 
 
@@ -368,8 +378,8 @@ def _valid(s: str) -> str:
       AND NOT list_has_any({w}, {str(COPULAS_AND_CONJUNCTIONS)}))"""
 
 
-def _type(s: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({s}, '{'|'.join(words)}') THEN '{kind}'" for kind, words in TYPE_WORDS)
+def _type(s: str, table: list[tuple[str, list[str]]] = TYPE_WORDS) -> str:
+    whens = " ".join(f"WHEN regexp_matches({s}, '{'|'.join(words)}') THEN '{kind}'" for kind, words in table)
     return f"CASE {whens} ELSE 'product' END"
 
 
@@ -438,6 +448,7 @@ def _f(tp: str, fp: str, fn: str) -> tuple[str, str, str]:
 
 
 _P, _R, _F = _f("tp", "fp", "fn")
+_PP, _PR, _PF = _f("ptp", "pfp", "pfn")
 SQL = {
     "clean_reviews": f"SELECT ingest_seq, {_clean('title')} AS title, c AS clean_text, sha256(c) AS content_hash FROM (SELECT *, {_clean(_BODY)} AS c FROM reviews) WHERE length(c) >= 20",
     "cleaning_counts": f"""SELECT count(*) AS n_rows, count(*) FILTER (n = 0) AS n_empty, count(*) FILTER (n BETWEEN 1 AND 19) AS n_short, count(*) FILTER (n >= 20) AS n_kept
@@ -467,6 +478,7 @@ SQL = {
     "review_chunks": "SELECT ingest_seq, CAST(floor((row_number() OVER (ORDER BY ingest_seq) - 1) / 1000) AS BIGINT) AS chunk_id FROM reviews",
     "review_sentences": f"SELECT ingest_seq, text, start_char, CAST(start_char + length(text) AS INTEGER) AS end_char FROM ({_sentences_sql(f'SELECT ingest_seq, {_FIRST} AS t FROM reviews', 'ingest_seq')})",
     "aspect_candidates": f"{_CANDIDATES} SELECT review_id, surface, doc_start_char, doc_end_char, start_char, end_char, confidence FROM mention",
+    "candidate_types": f"{_CANDIDATES} SELECT {_type('lower(surface)', CANDIDATE_TYPE_WORDS)} AS aspect_type, count(*) AS n, count(DISTINCT surface) AS surfaces FROM mention GROUP BY 1",
     "typed_aspects": f"""{_CANDIDATES} SELECT review_id, product_id, category, surface, doc_start_char, round(0.85 + CAST('0x' || substr(md5(surface), 1, 8) AS BIGINT) % 13 * 0.01, 2)::DOUBLE AS confidence, aspect_type, 'pseudo' AS origin FROM typed""",
     "aspect_counts": f"{_CANDIDATES} SELECT category, {_resolve(_strip('lower(surface)'))} AS aspect, aspect_type, count(*) AS mentions, count(DISTINCT review_id) AS reviews FROM typed GROUP BY 1, 2, 3",
     "word_counts": rf"{_CANDIDATES} SELECT CAST(len(regexp_split_to_array(surface, '{_WS}+')) AS INTEGER) AS n_words, count(*) AS n FROM mention GROUP BY 1",
@@ -499,6 +511,25 @@ SQL = {
     "overlapping_sentences": f"""SELECT g.review_id, g.start_char AS gold_start, g.end_char AS gold_end, p.start_char AS pred_start, CAST(p.start_char + length(p.text) AS INTEGER) AS pred_end
       FROM (SELECT DISTINCT review_id, start_char, end_char FROM sentences) g JOIN ({_sentences_sql(_LATEST, 'review_id')}) p
       ON g.review_id = p.review_id AND greatest(g.start_char, p.start_char) < least(g.end_char, p.start_char + length(p.text))""",
+    "span_metrics": f"""WITH g AS MATERIALIZED (SELECT DISTINCT review_id, start_char AS s, end_char AS e FROM sentences),
+      p AS MATERIALIZED (SELECT DISTINCT review_id, start_char AS s, CAST(start_char + length(text) AS INTEGER) AS e FROM ({_sentences_sql(_LATEST_CLEAN, 'review_id')}) WHERE review_id IN (SELECT review_id FROM g)),
+      n AS (SELECT (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g JOIN p USING (review_id, s, e)) AS tp,
+        (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.review_id = p.review_id AND greatest(g.s, p.s) < least(g.e, p.e))) AS ptp,
+        (SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM p WHERE g.review_id = p.review_id AND greatest(g.s, p.s) < least(g.e, p.e))) AS gtp),
+      c AS (SELECT tp, np - tp AS fp, ng - tp AS fn, ptp, np - ptp AS pfp, ng - gtp AS pfn FROM n)
+      SELECT round({_P}, 4) AS exact_span_precision, round({_R}, 4) AS exact_span_recall, round({_F}, 4) AS exact_span_f1,
+        round({_PP}, 4) AS partial_span_precision, round({_PR}, 4) AS partial_span_recall, round({_PF}, 4) AS partial_span_f1 FROM c""",
+    # all pairs of distinct texts that share a run of three characters, then the pass in order as a fold over each text's earlier neighbours
+    "near_duplicates": f"""WITH k AS MATERIALIZED (SELECT ingest_seq, {_strip('lower(clean_text)')} AS k FROM reviews),
+      d AS MATERIALIZED (SELECT k, min(ingest_seq) AS id FROM k WHERE k <> '' GROUP BY k),
+      g AS MATERIALIZED (SELECT DISTINCT id, hash(substr(k, i, 3)) AS g FROM (SELECT *, unnest(range(1, greatest(2, length(k) - 1))) AS i FROM d)),
+      n AS MATERIALIZED (SELECT id, count(*) AS n FROM g GROUP BY id),
+      pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM g x JOIN g y ON x.g = y.g AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id
+        WHERE nx.n >= 0.9 * ny.n AND ny.n >= 0.9 * nx.n GROUP BY x.id, y.id HAVING count(*) >= 0.9 * (min(nx.n) + min(ny.n) - count(*)) - 1e-12),
+      nodes AS (SELECT id, coalesce(list(a) FILTER (a IS NOT NULL), []) AS near FROM (SELECT DISTINCT unnest([a, b]) AS id FROM pairs) LEFT JOIN pairs ON pairs.b = id GROUP BY id),
+      kept AS (SELECT list_reduce(list(list_prepend(id, near) ORDER BY id), lambda acc, x: CASE WHEN list_has_any(x[2:], acc) THEN acc ELSE list_append(acc, x[1]) END, CAST([] AS BIGINT[])) AS ids FROM nodes)
+      SELECT k.ingest_seq, d.id IS NOT NULL AND (k.ingest_seq > d.id OR (d.id IN (SELECT id FROM nodes) AND NOT coalesce((SELECT list_contains(ids, d.id) FROM kept), true))) AS is_duplicate
+      FROM k LEFT JOIN d USING (k)""",
     "review_ids": """SELECT ingest_seq, sha256(coalesce(source, '') || '|' || coalesce(product_id, '') || '|' || coalesce(text, '') || '|' || coalesce(timestamp, '')) AS stable_id FROM reviews""",
     "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

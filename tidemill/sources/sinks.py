@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.sources import files
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Parquet, replacing what was there."""
@@ -27,16 +28,15 @@ def append_errors(spark: SparkSession, errors: list[tuple[str, str]], path: str)
 
 
 def write_json(value: dict[str, Any], path: str) -> None:
-    """A small driver-side document; the folder is made if it is not there."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps(value, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    """A small document on the file system of ``path``; the folder is made if it is not there."""
+    files.write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
 
 
 def read_json(path: str) -> dict[str, Any] | None:
-    p = Path(path)
+    """None if there is no such file or it is no JSON."""
     try:
-        return json.loads(p.read_text(encoding="utf-8"))
+        text = files.read_text(path)
+        return None if text is None else json.loads(text)
     except (OSError, ValueError):
         return None
 
@@ -52,5 +52,4 @@ def is_done(folder: str, config_hash: str) -> bool:
 
 
 def write_aliases(aliases: dict[str, str], path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("".join(f'"{k}": "{v}"\n' for k, v in sorted(aliases.items())), encoding="utf-8")
+    files.write_text("".join(f'"{k}": "{v}"\n' for k, v in sorted(aliases.items())), path)
