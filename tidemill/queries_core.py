@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators.hotkeys import key_profile
+from tidemill.operators.hotkeys import heavy_keys, key_profile
 from tidemill.operators.timestamps import normalise_timestamps
 from tidemill.session import table
 
@@ -20,7 +20,9 @@ def p2_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_profiles(spark, sf).where(F.col("share") >= HEAVY).select("table_name", "product_id").distinct()
+    """The product_ids that hold most rows of each table."""
+    a, b = (heavy_keys(table(spark, sf, t), "product_id", HEAVY).select(F.lit(t).alias("table_name"), "product_id") for t in ("reviews", "product_aspects"))
+    return a.unionByName(b)
 
 
 def p5_normalised(spark: SparkSession, sf: str) -> DataFrame:
