@@ -256,7 +256,7 @@ def brute(rows):
     return sorted(out.values())
 
 
-@pytest.mark.parametrize("fit", [None, 1, 3, 50])
+@pytest.mark.parametrize("fit", [copies.FIT, 1, 60, 2000])
 def test_copies_equal_grouping(spark, fit):
     r = random.Random(8)
     rows, seq = [], 0
@@ -271,6 +271,22 @@ def test_copies_equal_grouping(spark, fit):
     assert got == brute(rows)
 
 
+def test_long_shared_beginnings_take_few_rounds(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, "P", "x" * 3000 + r.choice(["", "y" * 500]) + sentence(r, 3)) for i in range(400)]
+    rows += [(1000 + i, "P", rows[i][2].upper()) for i in range(50)]
+    rounds = []
+    real = copies.written
+    monkeypatch.setattr(copies, "written", lambda df, what: rounds.append(what) or real(df, what))
+    got = sorted((x["n_copies"], x["first_seq"]) for x in copies.count_copies(records(spark, rows), fit=20_000).collect())
+    assert got == brute(rows) and 2 <= rounds.count("copies-over") <= 5
+    entries = spark.createDataFrame([(b"x" * 3000 + bytes([i]) * 9,) for i in range(90)], "canon binary")
+    sizes = {}
+    for x in copies.radix_buckets(entries, 9000).collect():
+        sizes[bytes(x["bucket"])] = sizes.get(bytes(x["bucket"]), 0) + len(x["canon"])
+    assert len(sizes) == 90 and max(sizes.values()) <= 9000
+
+
 def test_copies_of_an_empty_table(spark):
     assert copies.count_copies(records(spark, [])).count() == 0
 

