@@ -223,11 +223,13 @@ def dense(pos: np.ndarray, shortest: int, edits: int, bound: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings in memory, by gram, with each item's demands."""
+    """Postings in memory, by gram, with the demands of each item's number."""
 
-    grams: np.ndarray
+    grams: np.ndarray  # distinct
+    first: np.ndarray  # where the postings of each begin, and the end
     item: np.ndarray
     at: np.ndarray
+    ids: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
 
@@ -235,25 +237,31 @@ class Index:
     def of(cls, post: DataFrame) -> Index:
         t = post.select("gram", "item", "at", "edits", "bound").toPandas()
         t = t.assign(gram=t.gram.to_numpy().view(np.uint64)).sort_values("gram", kind="stable")
-        return cls(*(t[c].to_numpy() for c in ("gram", "item", "at", "edits", "bound")))
+        grams, first = np.unique(t.gram.to_numpy(), return_index=True)
+        ids, one, item = np.unique(t["item"].to_numpy(), return_index=True, return_inverse=True)
+        return cls(grams, np.append(first, len(t)), item, t["at"].to_numpy().astype(np.int64), ids, t.edits.to_numpy()[one].astype(np.int64), t.bound.to_numpy()[one])
 
     def pairs(self, doc: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (doc, item) of which some band holds as many shared q-grams as the item demands."""
-        lo, hi = np.searchsorted(self.grams, h, side="left"), np.searchsorted(self.grams, h, side="right")
-        count = hi - lo
-        post = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        doc, diag = np.repeat(doc, count), np.repeat(place, count) - self.at[post]
-        item, width = self.item[post], 2 * self.edits[post] + 2
-        kept = np.zeros(len(post), bool)
+        j = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+        same = self.grams[j] == h
+        doc, place, j = doc[same], place[same], j[same]
+        count = self.first[j + 1] - self.first[j]
+        post = np.repeat(self.first[j] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        item = self.item[post]
+        _, pair, n = np.unique(np.repeat(doc, count) * len(self.ids) + item, return_inverse=True, return_counts=True) if len(post) else (post, post, post)
+        some = n[pair] >= self.bound[item]  # too few in all bands together
+        item, pair, rep = item[some], pair[some], np.repeat(np.arange(len(doc)), count)[some]
+        diag, width = place[rep] - self.at[post[some]], 2 * self.edits[item] + 2
+        kept = np.zeros(len(pair), bool)
         for half in (0, 1):
-            band = (diag + half * (width // 2)) // width
-            order = np.lexsort((band, item, doc))
-            d, i, x = doc[order], item[order], band[order]
-            cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] != x[:-1])]) if len(order) else order
-            n = np.diff(np.append(cut, len(order)))
-            kept[order] |= np.repeat(n, n) >= self.bound[post][order]
-        both = np.unique(np.stack([doc[kept], item[kept]], axis=1), axis=0) if kept.any() else np.empty((0, 2), np.int64)
-        return both[:, 0], both[:, 1]
+            key = (pair << 33) + (diag + half * (width // 2)) // width + (1 << 32)
+            order = np.argsort(key)
+            cut = np.flatnonzero(np.diff(key[order], prepend=-1))
+            n = np.diff(np.append(cut, len(key)))
+            kept[order] |= np.repeat(n, n) >= self.bound[item[order]]
+        _, one = np.unique(pair[kept], return_index=True)
+        return doc[rep[kept][one]], self.ids[item[kept][one]]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, every: int = EDIT_EVERY, edits: int | None = None, doc_key: str = "doc_id", text: str = "text", most: int = IN_MEMORY) -> DataFrame:
