@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -518,3 +519,19 @@ def test_streams(spark, corpus, tmp_path):
     assert finish(stream.dedupe_stream(s, delay="3650 days"), "deduped").count() == want
     n = finish(stream.windowed_aspects(stream.mention_stream(stream.clean_stream(s)), "ingested_at", "1 day"), "windows", "complete").agg(F.sum("n")).first()[0]
     assert n == aspects.extract_aspects(review_sentences(batch)).count()
+
+
+def test_components_leave_only_their_last_tables(spark):
+    from tidemill.operators.graph import components
+    from tidemill.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    r = random.Random(4)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [(f"m{r.randrange(99)}", f"m{r.randrange(99)}") for _ in range(80)]
+    got = components(spark.createDataFrame(edges, "a string, b string"))
+    new = [p.name.split("-")[1] for p in set(folder.iterdir()) - before]
+    assert new.count("roots") == 1 and new.count("jump") == 0 and new.count("hook") == 0
+    assert {x["root"] for x in got.where("node like 'n%'").collect()} == {"n0"} and got.count() == len({x for e in edges for x in e})
+    chain = components(spark.createDataFrame([("a", None), ("b", "b")], "a string, b string"))
+    assert {tuple(x) for x in chain.collect()} == {("a", "a"), ("b", "b")}

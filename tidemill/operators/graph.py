@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.session import written
+from tidemill.session import forget, written
 
 
 def _any(df: DataFrame) -> bool:
@@ -13,11 +13,12 @@ def _any(df: DataFrame) -> bool:
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Shortcuts parent chains until each node points at its root."""
+    """Shortcuts parent chains until each node points at its root; ``parents`` is a written table and goes with the rounds."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
         nxt = written(parents.join(up, "parent", "left").select("node", F.coalesce("over", "parent").alias("parent"), (F.col("over").isNotNull() & (F.col("over") != F.col("parent"))).alias("moved")), "group-jump")
         moved = _any(nxt.where("moved"))
+        forget(parents)
         parents = nxt.select("node", "parent")
         if not moved:
             return parents
@@ -42,6 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         top = _jump(written(hook, "group-hook"))
         up = lambda c: top.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_to"))  # noqa: E731, B023
         moved = links.join(up("hi"), "hi", "left").join(up("lo"), "lo", "left").select(F.coalesce("hi_to", "hi").alias("x"), F.coalesce("lo_to", "lo").alias("y"))
+        before = links, result, top
         links = written(moved.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "group-links")
         result = written(result.join(up("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")), "group-roots")
+        forget(*before)  # each round's tables go when the next ones stand
     return result

@@ -65,6 +65,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing will read again; what else a frame reads stays."""
+    for df in tables:
+        spark, root = df.sparkSession, shared_dir(df.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/") + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked, for a shuffled join.
 
