@@ -77,6 +77,58 @@ def test_overlaps_equal_all_pairs(spark, reviews):
     assert {i for i, hit in cover if hit} == {x for p in want for x in p}
 
 
+def test_overlaps_leave_no_shuffles_behind_and_are_the_same_in_passes(spark, reviews, monkeypatch):
+    rows, split = reviews
+    df, s = spark.createDataFrame(rows, "review_id string, source string, clean_text string"), spark.createDataFrame(split, "review_id string, split string")
+    blocks = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if x.startswith("shuffle")}
+    results, left, real = [], set(), overlap.written
+
+    def write(df, what):
+        before = blocks()
+        out = real(df, what)
+        left.update(blocks() - before)
+        return out
+
+    monkeypatch.setattr(overlap, "written", write)
+    for chars in (overlap.PASS_CHARS, 1000):
+        monkeypatch.setattr(overlap, "PASS_CHARS", chars)
+        m, links = overlap.overlap_classes(df, s)
+        results.append((sorted(map(tuple, links.collect())), {tuple(x) for x in overlap.overlap_pairs(m, links).collect()}))
+    assert overlap.passes(10_000) == overlap.MAX_PASSES and results[0] == results[1] and len(results[0][1]) > 10
+    assert not left
+
+
+def test_codes_of_letter_counts_bound_the_edits():
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(17)
+    code = [int(x) for x in overlap.RING]
+    assert all((code[a] ^ code[b]).bit_count() == min(abs(a - b), 16 - abs(a - b)) for a in range(16) for b in range(16))
+    for n in (60, 700, 5000):
+        a = sentence(r, n)
+        for edits in (0, 1, n // 10):
+            b = edit(r, a, edits)
+            x, y = overlap.rings(pd.Series([a, b])).astype(np.int64).tolist()
+            apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+            assert apart + abs(len(a) - len(b)) <= 2 * edits
+
+
+def test_seeds_of_stock_phrases_end_where_letters_rule_the_pair_out(spark):
+    """All texts share a phrase at one place, so all pairs meet there; only edited copies go on."""
+    r = random.Random(19)
+    phrase, letters = "it works as described and arrived on time today", "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(40):
+        own = "".join(r.choice(letters[i % 20 : i % 20 + 6]) for _ in range(150))
+        rows += [(2 * i, own + phrase, True, False), (2 * i + 1, own[:70] + "é" + own[71:] + phrase, False, True)]
+    rows = [(i, t.replace(" ", ""), t, e) for i, t, e, _ in rows]
+    c = spark.createDataFrame([(i, t, len(t), False, e, not e) for i, t, _, e in rows], "id bigint, norm string, n_chars int, unspaced boolean, in_train boolean, in_eval boolean")
+    f, _ = overlap.fingerprints(spark, c)
+    pairs = {(x[0], x[1]) for x in overlap.near_seeds(f).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(40)} <= pairs and len(pairs) < 40 * 40 / 4
+
+
 def test_overlaps_of_empty_tables(spark):
     a = spark.createDataFrame([], "review_id string, source string, clean_text string")
     s = spark.createDataFrame([("x", "train")], "review_id string, split string")
