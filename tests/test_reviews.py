@@ -3,6 +3,7 @@ import json
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,57 @@ def test_near_duplicates_equal_a_pass_in_order(spark, threshold):
     assert dedupe.near_duplicates(rows(spark, texts), 1.0).where("is_duplicate").count() == 0
 
 
+def shuffled(spark):
+    """Records that all stages so far have written for a shuffle, by stage."""
+    gw = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gw.new_array(gw.jvm.double, 0), gw.jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_similar_pairs_of_stock_words_meet_by_buckets(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 9))) for _ in range(40)]
+    texts = [" ".join(r.sample(words, 30)) for _ in range(1000)]  # every n-gram of a word is in most texts
+    for t in texts[:60]:
+        i = r.randrange(10, len(t) - 10)
+        texts.append(r.choice([t[:i] + "\U0001f600" + t[i:], t[:i] + t[i + 3 :], t + " " + t[:9]]))
+    texts += ["a", "ab", "abc", "\U0001f600", "aaaaaaaa", "aaaaaaaaa", words[0], words[0] + words[0], words[0] * 3]
+    sets = [{t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in texts]
+    want = {}
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if len(a) >= 0.9 * len(b) - 1e-9 and len(b) >= 0.9 * len(a) - 1e-9 and (n := len(a & b)) >= 0.9 * (len(a) + len(b) - n) - 1e-12:
+                want[i, j] = n / (len(a) + len(b) - n)
+    before = shuffled(spark)
+    got = {(x["a"], x["b"]): x["similarity"] for x in dedupe.similar_pairs(rows(spark, texts), 0.9).collect()}
+    assert len(want) >= 60 and got == want
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 200 * len(texts)  # not a record for each pair of texts that share an n-gram
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.75, 0.9, 0.97])
+def test_buckets_that_similar_sets_share(threshold):
+    r = np.random.default_rng(int(threshold * 100))
+    met = 0
+    while met < 100:
+        a = r.choice(2**40, int(r.integers(1, 300)), replace=False).astype(np.uint64)
+        most = int((1 - threshold) / threshold * len(a))
+        b = np.unique(np.concatenate([a[int(r.integers(0, most + 1)) :], r.choice(2**40, int(r.integers(0, most + 1)), replace=False).astype(np.uint64)]))
+        n = len(np.intersect1d(a, b))
+        if n == 0 or n < threshold * (len(a) + len(b) - n):
+            continue
+        met += 1
+        low, buckets = dedupe._size_classes(threshold, max(len(a), len(b)))
+        own, under = [], []
+        for s in (a, b):
+            h, one = dedupe._mix(s), np.zeros(len(s), np.int64)
+            c = np.searchsorted(low, [len(s)], "right") - 1
+            own.append(set(dedupe._bucket_hashes(h, one, c, buckets[c])[0].tolist()))
+            under.append(set(dedupe._bucket_hashes(h, one, c - 1, buckets[np.maximum(c - 1, 0)])[0].tolist()))
+        assert own[0] & (own[1] | under[1]) or own[1] & under[0]
+
+
 # ---- samples and splits
 
 
