@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.cleaning import first_text, text_key
+from tidemill.functions.cleaning import char_ngrams, first_text, text_key
 from tidemill.session import forget, written
 
 PASS_SIGNATURES, MAX_PASSES = 1 << 22, 8  # signatures are joined in passes of about so many: only one pass's shuffle is on disk at a time
+BUCKETS_FROM = 0.8  # least threshold at which texts meet by buckets
 PART_CHARS = 1 << 19  # characters of a batch whose n-grams are in memory at once
 
 
@@ -125,20 +126,8 @@ def _jaccard(a: Column, b: Column, n: int) -> Column:
     return F.pandas_udf(similar, "double").asNondeterministic()(a, b)
 
 
-def similar_pairs(df: DataFrame, threshold: float, order: str = "ingest_seq", text: str = "clean_text", n: int = 3) -> DataFrame:
-    """(a, b, similarity): all pairs of distinct texts, a before b, with a Jaccard similarity of n-grams of at least ``threshold``.
-
-    Partition filter: sets that similar differ in at most (1 - t) / (1 + t) of their summed sizes. So if the n-grams are
-    spread by hash over more buckets than that, one bucket at least holds the same in both: texts meet by the hash of a
-    bucket's content, not by n-grams, which all texts share. Buckets are numbered by size class; each text also stands in the
-    class below, where a smaller partner may be. In the join, sizes and parities rule pairs out: one n-gram in one set only
-    changes one of 128 parities. What is left is verified on the whole sets. Below a threshold of about .8 buckets hold few
-    n-grams, and texts meet often. Exact copies should be removed first; a and b are values of ``order``.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold must be above 0 and at most 1")
-    keyed = df.select(F.col(order).alias("id"), text_key(F.col(text)).alias("k")).where(F.col("k") != "")
-    t = written(keyed.select("id", "k", _signatures(F.col("k"), threshold, n).alias("s")), "similar-texts")
+def _by_buckets(t: DataFrame, threshold: float) -> list[DataFrame]:
+    """Written tables (a, b) of the pairs that meet by the content of a bucket, less what sizes and parities rule out."""
     total = t.agg(F.sum("s.n")).first()[0] or 0
     n_passes = min(MAX_PASSES, 1 + int(2 * total * (1 - threshold) / threshold) // PASS_SIGNATURES)
     one = t.select("id", "s.n", "s.p0", "s.p1", "s.n_own", F.posexplode("s.sigs").alias("at", "sig"))
@@ -152,8 +141,45 @@ def similar_pairs(df: DataFrame, threshold: float, order: str = "ingest_seq", te
         side = lambda c: rows.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "p0", "p1", "own")], "sig")
         return side("a").join(side("b"), "sig").where(near).select("a", "b").distinct()
 
-    parts = [written(candidates(i), "similar-candidates") for i in range(n_passes)]
-    cand = reduce(DataFrame.union, parts).distinct() if n_passes > 1 else parts[0]
+    return [written(candidates(i), "similar-candidates") for i in range(n_passes)]
+
+
+def _by_rare_grams(t: DataFrame, threshold: float) -> list[DataFrame]:
+    """A written table (a, b) of the pairs that share enough of their rarest n-grams."""
+    grams = t.select("id", F.explode("g").alias("gram")).select("id", F.xxhash64("gram").alias("h"))
+    freq = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("size", F.size("s"))
+    k = F.least(F.lit(8), F.floor(F.col("size") * 0.03).cast("int") + 1)
+    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + k
+    prefix = written(ranked.select("id", "size", k.alias("k"), F.explode(F.slice("s", F.lit(1), F.least(keep, F.col("size")))).alias("x")).select("id", "size", "k", F.col("x.h").alias("h")), "ngram-prefixes")
+    side = lambda c: prefix.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("k").alias(f"k{c}"), "h")
+    near = (F.col("a") < F.col("b")) & (F.col("na") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)
+    shared = side("a").join(side("b"), "h").where(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.least(F.first("ka"), F.first("kb")).alias("k"))
+    cand = written(shared.where(F.col("n") >= F.col("k")).select("a", "b"), "similar-candidates")
+    forget(prefix)
+    return [cand]
+
+
+def similar_pairs(df: DataFrame, threshold: float, order: str = "ingest_seq", text: str = "clean_text", n: int = 3) -> DataFrame:
+    """(a, b, similarity): all pairs of distinct texts, a before b, with a Jaccard similarity of n-grams of at least ``threshold``.
+
+    Partition filter: sets that similar differ in at most (1 - t) / (1 + t) of their summed sizes. So if the n-grams are
+    spread by hash over more buckets than that, one bucket at least holds the same in both: texts meet by the hash of a
+    bucket's content, not by n-grams, which all texts share. Buckets are numbered by size class; each text also stands in the
+    class below, where a smaller partner may be. In the join, sizes and parities rule pairs out: one n-gram in one set only
+    changes one of 128 parities.
+
+    Under ``BUCKETS_FROM``, where a bucket would hold few n-grams or none, prefix filter: two sets that similar share at
+    least k of each other's rarest |x| - ceil(t |x|) + k n-grams, for any k, and their sizes differ by a factor of at most
+    t. k grows with the set, so that stock n-grams alone make no candidates; of two sets the smaller k counts.
+
+    Candidates are verified on the whole sets. Exact copies should be removed first; a and b are values of ``order``.
+    """
+    keyed = df.select(F.col(order).alias("id"), text_key(F.col(text)).alias("k")).where(F.col("k") != "")
+    buckets = BUCKETS_FROM <= threshold <= 1
+    t = written(keyed.select("id", "k", _signatures(F.col("k"), threshold, n).alias("s") if buckets else char_ngrams(F.col("k"), n).alias("g")), "similar-texts")
+    parts = _by_buckets(t, threshold) if buckets else _by_rare_grams(t, threshold)
+    cand = reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
     full = cand.join(t.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(t.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
     pairs = full.select("a", "b", _jaccard(F.col("ka"), F.col("kb"), n).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     pairs = written(pairs, "similar-pairs")
@@ -191,7 +217,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, order: str = "ingest_
     if threshold >= 1.0:
         return df.withColumn("is_duplicate", F.lit(False))
     t = df.withColumn("_tm_key", F.sha2(text_key(F.col(text)), 256))
-    first = t.where(text_key(F.col(text)) != "").groupBy("_tm_key").agg(F.min(order).alias("id"))
+    first = written(t.where(text_key(F.col(text)) != "").groupBy("_tm_key").agg(F.min(order).alias("id")), "distinct-texts")
     reps = df.join(first.select(F.col("id").alias(order)), order)
     kept = greedy_keep(first.select("id"), similar_pairs(reps, threshold, order, text, n))
     fate = first.join(kept, "id")
